@@ -121,13 +121,13 @@ def kernel_svc(
             classifier=LinearSVC(
                 regParam=1.0 / (c * n), maxIter=iterations, standardization=False
             ),
-            featuresCol="k", labelCol="label", rawPredictionCol="margins",
-            predictionCol="chosen", parallelism=max(1, len(labels)),
+            featuresCol="k", labelCol="label", predictionCol="chosen",
+            parallelism=max(1, len(labels)),
         ).fit(fit_on)
         calibration = LogisticRegression(
-            featuresCol="margins", labelCol="label", family="multinomial",
+            featuresCol="rawPrediction", labelCol="label", family="multinomial",
             rawPredictionCol="_raw", predictionCol="_best", maxIter=iterations,
-        ).fit(machines.transform(fit_on).select("margins", "label"))
+        ).fit(machines.transform(fit_on).select("rawPrediction", "label"))
     finally:
         fit_on.unpersist()
     scored = calibration.transform(machines.transform(test.withColumn("k", mapped("x"))))
@@ -147,9 +147,9 @@ def stratified_baseline(
         F.count(F.when(F.col("y") == c, 1)).alias(f"n{k}") for k, c in enumerate(labels)
     ])
     whole = counts.agg(F.struct(*total).alias("all")).scalar()
-    rest = [whole.getField(f"n{k}") - F.col(f"n{k}") for k in range(len(labels))]
+    rest = [F.col("_all")[f"n{k}"] - F.col(f"n{k}") for k in range(len(labels))]
     upto = [sum(rest[1:k + 1], rest[0]) for k in range(len(labels))]
-    shares = counts.select(
+    shares = counts.withColumn("_all", whole).select(
         F.col(fold).alias("_fold"),
         F.array(*[F.try_divide(u.cast("double"), upto[-1]) for u in upto]).alias("_upto"),
     )

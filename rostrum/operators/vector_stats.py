@@ -43,7 +43,7 @@ def weighted_vector_stats(
             vector_to_array("s.mean").alias("mean"),
             F.transform(
                 vector_to_array("s.variance"),
-                lambda x: x * (F.col("total") - F.col("squares") / F.col("total")),
+                lambda x: x * (F.col("total") - F.try_divide(F.col("squares"), F.col("total"))),
             ).alias("dev"),
         ).alias("part"))
     )

@@ -34,11 +34,12 @@ def zscore(
     gets NULL.
     """
     names = columns if isinstance(columns, dict) else {c: f"{c}_norm" for c in columns}
-    stats = moments(df, list(names), ddof)
-    return df.withColumns({
+    # As a column of its own the row of moments is one subquery for all z-scores.
+    stats = F.col("_moments")
+    return df.withColumn("_moments", moments(df, list(names), ddof)).withColumns({
         new: ratio(
             finite(f"`{c}`") - stats.getField(c).getField("mean"),
             stats.getField(c).getField("std"),
         )
         for c, new in names.items()
-    })
+    }).drop("_moments")

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from rostrum.functions.vectors import concat
 from rostrum.operators import models
-from rostrum.operators.metrics import score_table
-from rostrum.operators.positions import hash_folds
+from rostrum.operators.metrics import run_scores, score_table
+from rostrum.operators.positions import hash_folds, holdout
 from rostrum.session import durable
 from rostrum.vocab import FOLDS, LEVELS
 
@@ -32,6 +32,16 @@ KERNEL_SETS = ("Embeddings", "MFCC", "Text", "Audio-Text")
 BASELINE_SET = "Baseline"
 
 
+def predict(
+    train: DataFrame, test: DataFrame, kind: str, labels: Sequence[str], **options
+) -> DataFrame:
+    """Scale by the training rows, fit, and predict the test rows. Tables: key, y, x."""
+    (train, test), varying = models.standardise(train, [test])
+    if kind == "kernel":
+        return models.kernel_svc(train, test, labels, varying, **options)
+    return models.forest(train, test, labels, **options)
+
+
 def fold_predictions(
     table: DataFrame, kind: str, vectors: Sequence[str], labels: Sequence[str], fold: int,
     **options,
@@ -40,12 +50,9 @@ def fold_predictions(
     rows = table.select("key", "y", "fold", concat(*vectors).alias("x"))
     train = rows.where(F.col("fold") != fold)
     test = rows.where(F.col("fold") == fold)
-    (train, test), varying = models.standardise(train, [test])
-    if kind == "kernel":
-        out = models.kernel_svc(train, test, labels, varying, **options)
-    else:
-        out = models.forest(train, test, labels, **options)
-    return out.withColumn("fold", F.lit(fold).cast("bigint"))
+    return predict(train, test, kind, labels, **options).withColumn(
+        "fold", F.lit(fold).cast("bigint")
+    )
 
 
 def run_predictions(
@@ -115,3 +122,18 @@ def experiment(
         failed, "target string, type string, error string"
     )
     return scores, errors
+
+
+def holdout_run(
+    table: DataFrame, key: str, target: str, vectors: Sequence[str], kind: str,
+    labels: Sequence[str] = LEVELS, **options,
+) -> DataFrame:
+    """Fit once on an 80 % split and score the rest: accuracy and F1, one row."""
+    rows = durable(holdout(
+        table.where(F.col(target).isNotNull()).select(
+            F.col(key).alias("key"), F.col(target).alias("y"), concat(*vectors).alias("x")
+        ), "key",
+    ))
+    train, test = rows.where(~F.col("is_test")), rows.where("is_test")
+    out = predict(train, test, kind, labels, **options)
+    return run_scores(out.withColumn("target", F.lit(target)), ["target"])
