@@ -50,12 +50,12 @@ with ranked as (
 
 
 @query(f"""{SQL_ITEM_LAST}
-select l_suppkey, measure, n, round(mean, 6) as mean, round(std, 6) as std,
-       round(p90, 6) as p90
+select l_suppkey, measure, n, round(mean, 9) as mean, round(std, 9) as std,
+       round(p90, 9) as p90
 from stats""")
 def posterior_stats(spark: SparkSession, folder: str) -> DataFrame:
     return item_stats(spark, folder).select(
-        "l_suppkey", "measure", "n", *[rounded(c).alias(c) for c in ("mean", "std", "p90")]
+        "l_suppkey", "measure", "n", *[rounded(c, 9).alias(c) for c in ("mean", "std", "p90")]
     )
 
 
@@ -65,12 +65,12 @@ ITEM_COLUMNS = {n: ms for n, ms in measure_columns(ITEM_TASKS).items() if ms[0]
 
 @query(f"""{SQL_ITEM_LAST}
 select l_suppkey, {', '.join(
-    f"round(max(case when measure = '{m}' then {s} end), 6) as {name}"
+    f"round(max(case when measure = '{m}' then {s} end), 9) as {name}"
     for name, (m, s) in ITEM_COLUMNS.items())}
 from stats group by 1""")
 def posterior_columns(spark: SparkSession, folder: str) -> DataFrame:
     wide = pivot_measures(item_stats(spark, folder), "l_suppkey", ITEM_TASKS, list(ITEM_COLUMNS))
-    return wide.select("l_suppkey", *[rounded(c).alias(c) for c in ITEM_COLUMNS])
+    return wide.select("l_suppkey", *[rounded(c, 9).alias(c) for c in ITEM_COLUMNS])
 
 
 def since_2024(c: str) -> Column:

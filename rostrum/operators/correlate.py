@@ -7,11 +7,14 @@ from itertools import combinations, product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from rostrum.functions.numeric import mask_small
 
-PARTIAL = "i int, j int, n double, mi double, mj double, cii double, cjj double, cij double"
+PARTIAL = (
+    "i int, j int, n double, li double, lj double, mi double, mj double, "
+    "cii double, cjj double, cij double"
+)
 
 
 def correlations(
@@ -52,7 +55,7 @@ def correlations(
         with np.errstate(all="ignore"):
             out = pd.DataFrame({
                 "i": left.astype("int32"), "j": right.astype("int32"), "n": count,
-                "mi": level[left] + a / count, "mj": level[right] + b / count,
+                "li": level[left], "lj": level[right], "mi": a / count, "mj": b / count,
                 "cii": sxx[left, right] - a * a / count,
                 "cjj": sxx[right, left] - b * b / count,
                 "cij": sxy[left, right] - a * b / count,
@@ -64,21 +67,25 @@ def correlations(
     pair = W.partitionBy("i", "j")
     n, di, dj = F.col("n"), F.col("mi") - F.col("gi"), F.col("mj") - F.col("gj")
     total = F.sum("n").over(pair)
-    merged = partial.select(
-        "*",
-        (F.sum(n * F.col("mi")).over(pair) / total).alias("gi"),
-        (F.sum(n * F.col("mj")).over(pair) / total).alias("gj"),
-    ).groupBy("i", "j").agg(
+    # Task means relative to the least level of the pair keep all their digits.
+    merged = partial.withColumns({
+        "mi": F.col("li") - F.min("li").over(pair) + F.col("mi"),
+        "mj": F.col("lj") - F.min("lj").over(pair) + F.col("mj"),
+    }).withColumns({
+        "gi": F.sum(n * F.col("mi")).over(pair) / total,
+        "gj": F.sum(n * F.col("mj")).over(pair) / total,
+    }).groupBy("i", "j").agg(
         F.sum("n").alias("n"),
         F.sum(F.greatest(F.col("cii"), F.lit(0.0)) + n * di * di).alias("cii"),
         F.sum(F.greatest(F.col("cjj"), F.lit(0.0)) + n * dj * dj).alias("cjj"),
         F.sum(F.col("cij") + n * di * dj).alias("cij"),
-        F.first("gi").alias("gi"), F.first("gj").alias("gj"),
+        F.max(F.abs("li") + F.abs("gi")).alias("si"),
+        F.max(F.abs("lj") + F.abs("gj")).alias("sj"),
     )
 
-    def varies(dev: str, mean: str):
+    def varies(dev: str, size: str) -> Column:
         # Anything below is rounding noise of a constant.
-        noise = F.abs(F.col(mean)) * 1e-14
+        noise = F.col(size) * 1e-14
         return F.col(dev) > F.col("n") * noise * noise
 
     r = F.col("cij") / F.sqrt("cii") / F.sqrt("cjj")
@@ -86,7 +93,7 @@ def correlations(
     return merged.select(
         F.get(names, "i").alias("a"), F.get(names, "j").alias("b"),
         F.col("n").cast("bigint").alias("n"),
-        F.when(varies("cii", "gi") & varies("cjj", "gj"),
+        F.when(varies("cii", "si") & varies("cjj", "sj"),
                F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"),
     )
 

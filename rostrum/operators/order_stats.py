@@ -32,14 +32,17 @@ def describe(
         .repartition(*[F.col(k) for k in cell_keys])
     )
     v, c = F.col("v"), F.col("c")
-    cells = values.groupBy(*cell_keys).agg(
-        F.sum("c").alias("cn"),
-        (F.sum(v * c) / F.sum("c")).alias("cmean"),
-        (F.sum(v * v * c) - F.sum(v * c) * F.sum(v * c) / F.sum("c")).alias("cdev"),
+    # The cell's mean comes first: squares of close values would cancel each other.
+    cell = W.partitionBy(*cell_keys)
+    cells = values.withColumn("m", F.sum(v * c).over(cell) / F.sum("c").over(cell)).groupBy(
+        *cell_keys
+    ).agg(
+        F.sum("c").alias("cn"), F.first("m").alias("cmean"),
+        F.sum(c * (v - F.col("m")) * (v - F.col("m"))).alias("cdev"),
         F.min("v").alias("lo"), F.max("v").alias("hi"),
     ).withColumns({
         "cmean": F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("cmean")),
-        "cdev": F.when(F.col("lo") == F.col("hi"), 0.0).otherwise(F.greatest("cdev", F.lit(0.0))),
+        "cdev": F.when(F.col("lo") == F.col("hi"), 0.0).otherwise(F.col("cdev")),
     })
     # A few thousand cells at most per group meet here, however many rows it has.
     group = W.partitionBy(*keys)

@@ -20,19 +20,24 @@ def weighted_vector_stats(
     exploded and a large group is one buffer per task. It divides by an unbiased
     weight sum and refuses negative weights; both are undone here: its variance is
     turned back into a sum of squares, and positive and negative weights are
-    summed apart and subtracted. Groups with total weight zero or with vectors of
-    different lengths get NULL.
+    summed apart and subtracted. Groups with total weight zero, a missing weight or
+    vectors of different lengths get NULL. Empty vectors do not count.
     """
     keys = list(keys)
     w = F.col("w")
     parts = (
-        df.where(F.col(vector).isNotNull())
-        .select(*keys, F.col(vector).cast("array<double>").alias("v"),
-                F.col(weight).cast("double").alias("w"))
+        df.where(F.size(vector) > 0)
+        .select(
+            *keys,
+            F.transform(
+                F.col(vector).cast("array<double>"), lambda x: F.coalesce(x, F.lit(float("nan")))
+            ).alias("v"),
+            F.col(weight).cast("double").alias("w"),
+        )
         .groupBy(*keys, F.signum("w").alias("sign"), F.size("v").alias("width"))
         .agg(
             Summarizer.metrics("mean", "variance").summary(
-                array_to_vector("v"), F.when(w == 0, 1.0).otherwise(F.abs(w))
+                array_to_vector("v"), F.when(w != 0, F.abs(w)).otherwise(1.0)
             ).alias("s"),
             F.sum(F.abs("w")).alias("total"),
             F.sum(w * w).alias("squares"),
@@ -50,7 +55,7 @@ def weighted_vector_stats(
     sides = parts.groupBy(*keys).agg(
         F.max(F.when(F.col("sign") > 0, F.col("part"))).alias("p"),
         F.max(F.when(F.col("sign") < 0, F.col("part"))).alias("q"),
-        (F.min("width") == F.max("width")).alias("even"),
+        ((F.min("width") == F.max("width")) & ~F.max(F.col("sign").isNull())).alias("even"),
         F.sum("n").alias("vectors"),
     )
     total = F.coalesce("p.total", F.lit(0.0)) - F.coalesce("q.total", F.lit(0.0))

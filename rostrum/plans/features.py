@@ -50,7 +50,7 @@ def problems(utts: DataFrame, key: str, tasks: Mapping[str, Sequence[str]] = TAS
         for task, names in tasks.items() for label in names
     ])
     bad = F.col("bad") | F.col("id").isNull() | F.col("st").isNull() | F.col("et").isNull()
-    with_vector = F.col("vector").isNotNull()
+    with_vector = F.size("vector") > 0
     checks = utts.groupBy(key).agg(
         F.max(F.coalesce(bad, F.lit(False)) | F.coalesce(no_number, F.lit(False))).alias("bad"),
         F.count("*").alias("n"),

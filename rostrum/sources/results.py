@@ -57,9 +57,13 @@ def read_results(spark: SparkSession, folder: str) -> DataFrame:
     by (talk, utterance).
     """
     documents = (
-        spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder)
+        spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True)
         .select(
-            F.regexp_replace("_metadata.file_name", r"\.json$", "").alias("filename"),
+            # The metadata column holds the name as part of a URL.
+            F.regexp_replace(
+                F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B"))),
+                r"\.json$", "",
+            ).alias("filename"),
             F.col("value").alias("document"),
         )
     )
