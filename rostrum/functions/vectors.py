@@ -20,8 +20,5 @@ def concat(*vectors: Column | str) -> Column:
 
 def assemble(columns: Sequence[str]) -> Column:
     """Named scalars as one vector; NULL if any of them is missing."""
-    parts = [F.col(c).cast("double") for c in columns]
-    whole = F.lit(True)
-    for part in parts:
-        whole = whole & part.isNotNull()
-    return F.when(whole, F.array(*parts))
+    parts = F.array(*[F.col(c).cast("double") for c in columns])
+    return F.when(F.forall(parts, lambda x: x.isNotNull()), parts)
