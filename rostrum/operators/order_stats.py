@@ -47,10 +47,10 @@ def describe(
     # A few thousand cells at most per group meet here, however many rows it has.
     group = W.partitionBy(*keys)
     below = group.orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
-    cells = cells.select(
+    # The ordered window goes first: its sort serves the other one as well.
+    cells = cells.withColumn("before", F.coalesce(F.sum("cn").over(below), F.lit(0))).select(
         "*",
         F.sum("cn").over(group).alias("n"),
-        F.coalesce(F.sum("cn").over(below), F.lit(0)).alias("before"),
         (F.sum(F.col("cn") * F.col("cmean")).over(group) / F.sum("cn").over(group)).alias("gmean"),
         F.max(F.col("slot").isNull()).over(group).alias("spoilt"),
     )

@@ -124,16 +124,20 @@ def experiment(
     return scores, errors
 
 
-def holdout_run(
+def holdout_predictions(
     table: DataFrame, key: str, target: str, vectors: Sequence[str], kind: str,
     labels: Sequence[str] = LEVELS, **options,
 ) -> DataFrame:
-    """Fit once on an 80 % split and score the rest: accuracy and F1, one row."""
+    """Fit once on an 80 % split and predict the rest: `(target, key, y, p, scores)`."""
     rows = durable(holdout(
         table.where(F.col(target).isNotNull()).select(
             F.col(key).alias("key"), F.col(target).alias("y"), concat(*vectors).alias("x")
         ), "key",
     ))
     train, test = rows.where(~F.col("is_test")), rows.where("is_test")
-    out = predict(train, test, kind, labels, **options)
-    return run_scores(out.withColumn("target", F.lit(target)), ["target"])
+    return predict(train, test, kind, labels, **options).withColumn("target", F.lit(target))
+
+
+def holdout_run(*args, **options) -> DataFrame:
+    """Accuracy and F1 of `holdout_predictions`, one row."""
+    return run_scores(holdout_predictions(*args, **options), ["target"])

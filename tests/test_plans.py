@@ -9,7 +9,7 @@ from rostrum import bindings
 FOLDER = "/root/testdata/sf0.001"
 QUERIES = bindings.queries()
 # The pair sums run in Arrow batches; fits have plans of their own.
-ARROW = {"corr_matrix", "corr_table", "corr_rank", "cohort_correlations"}
+ARROW = {"corr_matrix", "corr_table", "corr_rank", "cohort_correlations", "survey_correlations"}
 FITS = {"pca2", "rbf_holdout", "forest_holdout", "cv_scores", "scaled"}
 
 
