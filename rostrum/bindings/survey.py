@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rostrum.bindings.registry import query, rounded, table
 from rostrum.bindings.text import SQL_WORDS
-from rostrum.operators.correlate import corr_table
-from rostrum.plans.analysis import survey_columns
+from rostrum.plans.analysis import survey_columns, survey_matrix, survey_table
 
 NAMES = ("chars", "quality")
 COLUMNS = ("comments", "speaker_id", "wc", "wpm", "duration", "comments_views", "views_comments", "age")
@@ -79,4 +80,12 @@ def _table_sql() -> str:
 
 @query(_table_sql())
 def survey_correlations(spark: SparkSession, folder: str) -> DataFrame:
-    return corr_table(survey(spark, folder), COLUMNS, NAMES, 0.2)
+    return survey_table(survey(spark, folder), COLUMNS, NAMES)
+
+
+@query(f"""{SQL_SURVEY}
+select a, b, n, round(r, 6) as r from ({' union all '.join(
+    f"select '{a}' as a, '{b}' as b, regr_count({a}, {b})::bigint as n, corr({a}, {b}) as r "
+    "from survey" for a, b in combinations([*NAMES, *COLUMNS], 2))})""")
+def survey_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return survey_matrix(survey(spark, folder), COLUMNS, NAMES).withColumn("r", rounded("r"))

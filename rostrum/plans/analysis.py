@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, functions as F
 from rostrum.functions import ratings as R
 from rostrum.functions.numeric import ordinal_map, ratio, relabel
 from rostrum.functions.text import fill_text, word_count
-from rostrum.operators.correlate import corr_rank
+from rostrum.operators.correlate import corr_matrix, corr_rank, corr_table
 from rostrum.operators.positions import add_appearance_code
 from rostrum.operators.summaries import cohorts
-from rostrum.vocab import AGE_BANDS, COHORT_SIZE, MODEL_COLUMNS, POPULARITY_TARGETS, RATINGS
+from rostrum.vocab import (
+    AGE_BANDS, COHORT_SIZE, CORRELATION_THRESHOLD, MODEL_COLUMNS, POPULARITY_TARGETS, RATINGS,
+    SURVEY_COLUMNS,
+)
 
 
 def survey_columns(
@@ -33,6 +36,21 @@ def survey_columns(
     return talks.withColumn("wpm", ratio("wc", "duration"))
 
 
+def survey_table(
+    survey: DataFrame, columns: Sequence[str] = SURVEY_COLUMNS, names: Sequence[str] = RATINGS,
+    threshold: float = CORRELATION_THRESHOLD,
+) -> DataFrame:
+    """Columns x ratings as text, weak coefficients as `-`."""
+    return corr_table(survey, columns, names, threshold)
+
+
+def survey_matrix(
+    survey: DataFrame, columns: Sequence[str] = SURVEY_COLUMNS, names: Sequence[str] = RATINGS
+) -> DataFrame:
+    """Every pair of the survey's columns and ratings."""
+    return corr_matrix(survey, [*names, *columns])
+
+
 def cohort_correlations(
     features: DataFrame, metric: str, key: str, columns: Sequence[str] | None = None,
     n: int = COHORT_SIZE,
