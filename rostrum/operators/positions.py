@@ -31,10 +31,12 @@ def with_position(
     span = df.agg(F.struct(
         F.min(order).alias("low"), F.max(order).alias("high")
     ).alias("span")).scalar()
-    width = F.floor(
-        (span.getField("high") - span.getField("low")) / F.lit(slices)
-    ) + 1
-    cut = df.withColumn("_slice", F.floor((F.col(order) - span.getField("low")) / width))
+    low, high = F.col("_span.low"), F.col("_span.high")
+    width = F.floor((high - low) / F.lit(slices)) + 1
+    # As a column of its own the span is one subquery for all its uses.
+    cut = df.withColumn("_span", span).withColumn(
+        "_slice", F.floor((F.col(order) - low) / width)
+    ).drop("_span")
     counts = cut.groupBy("_slice").agg(F.count("*").alias("_n"))
     offsets = counts.select(
         "_slice",
