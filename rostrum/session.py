@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,8 +19,6 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Files written by `durable` go when nothing refers to them any more.
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -32,20 +34,54 @@ def session(app: str = "rostrum", master: str | None = None, **conf: str) -> Spa
     return builder.getOrCreate()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write `df` to the checkpoint folder and read it back from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for tables that outlive a job: `spark.checkpoint.dir`, which all
+    executors see. Only `local` and `local[...]` sessions get a scratch folder."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="rostrum-shared-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def durable(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write `df` as Parquet to the shared folder and read it back from there.
 
     For tables that many later jobs read: a lost executor costs a re-read, not a
-    recomputation. The folder is the one the cluster names in
-    `spark.checkpoint.dir`; a local session without it gets a scratch folder.
+    recomputation, and readers take only the columns they need. The table goes when
+    the program ends, or with `discard`.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="rostrum-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/rostrum/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _landed[path] = df.sparkSession
+    out._landed_at = path
+    return out
+
+
+_landed: dict[str, SparkSession] = {}
+
+
+def _remove(path: str) -> None:
+    spark = _landed.pop(path, None)
+    if spark is None or spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
+        return
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of `durable` that nothing reads any more."""
+    for df in tables:
+        if getattr(df, "_landed_at", None):
+            _remove(df._landed_at)
+
+
+@atexit.register
+def _sweep() -> None:
+    for path in list(_landed):
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            _remove(path)
