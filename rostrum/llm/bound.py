@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rostrum.llm.linededup import dedup_lines
+from rostrum.llm.neardup import near_duplicates
 from rostrum.llm.registry import crc32_of, query, table
 from rostrum.llm.sharding import placements
 
@@ -13,8 +14,8 @@ SLICES = 64
 
 # CRC-32 in lists: a table of 256 by rule, folded over the bytes.
 SQL_CRC = """list_reduce(
-  list_prepend(4294967295::bigint, list_transform(range(0, strlen(t)),
-    lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint)),
+  list_prepend(4294967295::bigint, list_transform(regexp_extract_all(h, '..'),
+    lambda x: ('0x' || x)::bigint)),
   lambda c, b: xor(c >> 8, crc_table[xor(c & 255, b) + 1]))"""
 
 
@@ -59,6 +60,15 @@ def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query()
+def op2_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate components of all documents, at 75 percent of five-word shingles."""
+    found = near_duplicates(table(spark, folder, "documents"))
+    return found.select(
+        F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept",
+    )
+
+
 @query("""
 with lines as (
   select doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) as line,
