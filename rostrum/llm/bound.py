@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rostrum.llm.linededup import dedup_lines
 from rostrum.llm.neardup import near_duplicates
+from rostrum.llm.packing import pack, pieces
 from rostrum.llm.registry import crc32_of, query, table
 from rostrum.llm.sharding import placements
 
@@ -93,3 +95,19 @@ def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return dedup_lines(docs).select(
         "doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"),
     )
+
+
+def document_pieces(docs: DataFrame) -> DataFrame:
+    return pieces(
+        docs, public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
+    )
+
+
+@query()
+def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents packed into sequences of 1024 ids."""
+    return pack(document_pieces(table(spark, folder, "documents"))).select(
+        F.col("doc").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
+        "offset",
+    )
