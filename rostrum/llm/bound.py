@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from rostrum.llm import quality, toxicity
 from rostrum.llm.linededup import dedup_lines
 from rostrum.llm.neardup import near_duplicates
 from rostrum.llm.packing import pack, pieces
-from rostrum.llm.registry import crc32_of, query, table
+from rostrum.llm.registry import crc32_of, fresh, query, table
 from rostrum.llm.sharding import placements
 
 SHARDS = 40
@@ -111,3 +112,40 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
         F.col("doc").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
         "offset",
     )
+
+
+LEAST_TAIL = 0.5
+
+
+def graded(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[str]]:
+    """`docs` with score, expected grade and tail probability under fresh names."""
+    model = quality.fit(docs.select("doc_id", "text"), labels.select("doc_id", "quality"))
+    names = fresh(docs, "quality_score", "expected_grade", "tail_probability")
+    expected, tail = quality.grade_columns(F.col(names[0]), model)
+    scored = docs.withColumn(names[0], quality.quality_score(F.col("text"), model))
+    return scored.withColumns({names[1]: expected, names[2]: tail}), names
+
+
+@query()
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Expected grade and tail probability of every document."""
+    scored, names = graded(
+        table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels")
+    )
+    return scored.select("doc_id", *names, (F.col(names[2]) >= LEAST_TAIL).alias("kept"))
+
+
+def held_out(key: Column) -> Column:
+    return F.crc32(key.cast("string").cast("binary")) % 5 == 0
+
+
+@query()
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learnt outside the held-out fifth."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels").select("doc_id", "toxic").where(~held_out(F.col("doc_id")))
+    vocabulary, index = toxicity.fit(docs, labels)
+    return toxicity.score(docs, vocabulary, index).select(
+        F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score", "predicted",
+        F.transform("evidence", lambda e: e["id"]).alias("evidence"),
+    )
