@@ -1,6 +1,6 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine.
 
-Terms are words and the 4- and 5-grams inside them; a bounded sample of labelled rows
+Terms are words and their first 3 to 8 characters; a bounded sample of labelled rows
 says which terms tell the labels apart. Examples are indexed by term in blocks of
 neighbouring examples with the largest weight of each; blocks are visited by falling
 bound until none can reach the k-th best. Votes weigh by similarity and are calibrated
@@ -20,21 +20,22 @@ from pyspark.sql import DataFrame, functions as F
 
 SAMPLE_ROWS = 8192  # labelled rows that terms, examples and calibration come from
 TERMS = 512
-NEIGHBOURS = 16
+LEAST_ROWS = 5  # of the sample that hold a term
+NEIGHBOURS = 32
 BLOCK = 64
 CHUNK = 16  # blocks scored at a time
 PRIOR_WEIGHT = 0.5  # of one more vote that holds the sample's share of label 1
-GRAMS = (4, 5)
+BEGINNINGS = range(3, 9)
 WORD = re.compile(r"\w+")
 BATCH = 256
 MOST_WORDS = 1 << 19
-LONGEST_WORD = 64  # beyond, a word has only its 4- and 5-grams, no term of its own
+LONGEST_WORD = 64  # beyond, a word has only its beginnings, no term of its own
 
 
 def terms_of(word: str) -> set[str]:
+    """The word, and its beginnings with a mark: one stem has many endings."""
     out = {word} if len(word) <= LONGEST_WORD else set()
-    for n in GRAMS:
-        out.update(word[i:i + n] for i in range(len(word) - n + 1))
+    out.update("^" + word[:n] for n in BEGINNINGS if n < len(word))
     return out
 
 
@@ -212,7 +213,8 @@ def choose_terms(sample: DataFrame, terms: int = TERMS) -> list[str]:
     counted = sample.select("text", "y").mapInArrow(count, "term string, a bigint, b bigint").groupBy(
         "term"
     ).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    best = counted.where((a * n0 > b * n1) & (a + b >= 3)).select("term", chi.alias("chi")).orderBy(
+    # Only terms that speak for label 1: most of the rows that hold them have it.
+    best = counted.where((a > b) & (a * n0 > b * n1) & (a + b >= LEAST_ROWS)).select("term", chi.alias("chi")).orderBy(
         F.desc_nulls_last("chi"), "term"
     ).limit(terms)
     return sorted(r["term"] for r in best.collect())
@@ -258,11 +260,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, terms: int
     got = sample.select(F.col("id").cast("bigint"), "text", "y").mapInArrow(
         vectors, "id bigint, y int, terms array<bigint>, counts array<double>"
     ).orderBy("id", "terms", "counts").collect()  # `rows` rows of few numbers, but for repeated ids
+    # Copies of a text are one example, which has the least id and the mean of their labels.
+    same: dict[tuple, list] = {}
+    for r in got:
+        same.setdefault((tuple(r["terms"]), tuple(r["counts"])) if r["terms"] else r["id"], []).append(r)
     n, df = _document_counts(docs.select(docs.columns[1]), vocabulary)
     idf = np.log((1 + n) / (1 + df)) + 1
     return vocabulary, build(
-        np.array([r["id"] for r in got], np.int64), np.array([r["y"] for r in got], float),
-        [(np.array(r["terms"], np.int64), np.array(r["counts"], float)) for r in got], idf, k,
+        np.array([rows[0]["id"] for rows in same.values()], np.int64),
+        np.array([np.mean([r["y"] for r in rows]) for rows in same.values()]),
+        [(np.array(rows[0]["terms"], np.int64), np.array(rows[0]["counts"], float))
+         for rows in same.values()], idf, k,
     )
 
 
@@ -275,8 +283,8 @@ def score(docs: DataFrame, vocabulary: list[str], index: Index, k: int = NEIGHBO
     """
     model = docs.sparkSession.sparkContext.broadcast((vocabulary, index))  # bounded by the sample
     shape = ("id bigint, score double, predicted int, "
-             "evidence array<struct<id:bigint,label:int,similarity:double>>")
-    cell = pa.list_(pa.struct([("id", pa.int64()), ("label", pa.int32()), ("similarity", pa.float64())]))
+             "evidence array<struct<id:bigint,label:double,similarity:double>>")
+    cell = pa.list_(pa.struct([("id", pa.int64()), ("label", pa.float64()), ("similarity", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, index = model.value
@@ -290,7 +298,7 @@ def score(docs: DataFrame, vocabulary: list[str], index: Index, k: int = NEIGHBO
                     found, cosine = index.nearest(terms, index.unit(terms, n), k, own=doc)
                     scores.append(index.score(index.vote(found, cosine)))
                     evidence.append([
-                        {"id": int(index.ids[i]), "label": int(index.labels[i]), "similarity": float(c)}
+                        {"id": int(index.ids[i]), "label": float(index.labels[i]), "similarity": float(c)}
                         for i, c in zip(found[:3], cosine)
                     ])
                 yield pa.RecordBatch.from_arrays([
