@@ -7,7 +7,9 @@ shard a key either stays or goes into the new one. There is no table of shards.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from rostrum.session import durable
 
 # Fixed values of the published generator: multiplier (64 bits) and increment.
 MULTIPLIER = 2862933555777941757
@@ -93,15 +95,16 @@ def placements(rows: DataFrame, key: str, n: int, slices: int = 64) -> DataFrame
     columns = rows.columns
     counted = rows.groupBy(*columns).agg(F.count("*").alias("_n"))
     walk = jump(F.col(key), n)
-    placed = counted.withColumn("_walk", walk).select(
+    # Written, since both the slice counts and the numbers read it: one pass over the texts.
+    placed = durable(counted.withColumn("_walk", walk).select(
         *columns, "_n", F.col("_walk.shard").alias("shard"), F.col("_walk.grown").alias("grown_shard"),
         (key_halves(F.col(key))[1] % slices).cast("int").alias("_slice"),
-    ).repartition("shard", "_slice")
-    running = F.sum("_rows").over(_window("shard").orderBy("_slice"))
+    ), "places")
+    running = F.sum("_rows").over(W.partitionBy("shard").orderBy("_slice"))
     offsets = placed.groupBy("shard", "_slice").agg(F.sum("_n").alias("_rows")).select(
         "shard", "_slice", (running - F.col("_rows")).alias("_offset"),
     )
-    inside = F.sum("_n").over(_window("shard", "_slice").orderBy(*columns))
+    inside = F.sum("_n").over(W.partitionBy("shard", "_slice").orderBy(*columns))
     return placed.withColumn("_upto", inside).join(
         F.broadcast(offsets), ["shard", "_slice"]  # n * slices rows at most
     ).withColumn("_last", F.col("_offset") + F.col("_upto") - 1).select(
@@ -110,8 +113,3 @@ def placements(rows: DataFrame, key: str, n: int, slices: int = 64) -> DataFrame
         "grown_shard",
     )
 
-
-def _window(*by: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*by)
