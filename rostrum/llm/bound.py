@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType
 
-from rostrum.llm import chat, quality, toxicity
+from rostrum.llm import chat, quality, toxicity, warc
 from rostrum.llm.linededup import dedup_lines
 from rostrum.llm.neardup import near_duplicates
 from rostrum.llm.packing import pack, pieces
@@ -183,3 +185,21 @@ def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(MARKED_TEXT).alias("text"),
     )
     return chat.read_back(chat.render(given.unionByName(marked))).withColumnRenamed("conv", "conv_id")
+
+
+@F.pandas_udf(StringType())
+def _digest(payload: pd.Series) -> pd.Series:
+    return payload.map(warc.digest_of)
+
+
+@query()
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages archived and read back; a response's digest and size are of what was read."""
+    back = warc.read(spark, warc.archive(table(spark, folder, "pages")))
+    whole = F.col("payload").isNotNull()
+    return back.select(
+        warc.page_of(F.col("record_id")).alias("page_id"),
+        F.when(whole, F.octet_length("payload").cast("bigint")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(whole, _digest(F.coalesce("payload", F.lit(b"")))).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type", warc.page_of(F.col("refers_to")).alias("refers_to"),
+    )
