@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType
 
-from rostrum.llm import chat, quality, toxicity, warc
+from rostrum.llm import chat, decontaminate, quality, toxicity, warc
 from rostrum.llm.linededup import dedup_lines
 from rostrum.llm.neardup import near_duplicates
 from rostrum.llm.packing import pack, pieces
@@ -203,3 +203,12 @@ def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
         F.when(whole, _digest(F.coalesce("payload", F.lit(b"")))).otherwise(F.col("payload_digest")).alias("payload_digest"),
         "record_type", warc.page_of(F.col("refers_to")).alias("refers_to"),
     )
+
+
+@query()
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document, and the benchmark items it holds."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    items = table(spark, folder, "benchmark").select("item_id", "text")
+    marked, names = decontaminate.mark(docs, items)
+    return marked.select("doc_id", *names)
