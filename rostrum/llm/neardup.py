@@ -3,10 +3,11 @@
 Documents with equal shingle sets form a class, found by one aggregation; only class
 representatives (the least id) are compared. Representatives that share a band of their
 sketches meet in a bucket. A bucket's members are compared with its hub (its least id)
-and not with each other; only buckets whose members are still in several components
-compare members across components. So a group of thousands of near copies costs about
-one comparison per member, and still no candidate pair of different components is left
-out.
+and not with each other. In buckets that still hold several components, members are
+described by what sets them apart from the hub; two of them can only be similar if they
+share much of that, so they are joined on the rarest elements of these small sets, and
+what meets there is compared in full. So a group of thousands of near copies costs about
+one comparison per member, and still no pair is left out.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from rostrum.llm.components import components
 from rostrum.llm.registry import fresh
@@ -76,16 +77,22 @@ def _linked(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
 def confirmed(pairs: DataFrame, texts: DataFrame, least: int = LEAST_PERCENT) -> DataFrame:
     """The pairs `(a, b)` whose texts are similar enough. `texts`: id and text. Only the
     texts of ids that occur in `pairs` are read into sets."""
+    one, two = _pair_sets(pairs, texts)
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(
+        lambda batches: _linked(batches, least), "a bigint, b bigint"
+    ).distinct()
+
+
+def _pair_sets(pairs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
     key, text = texts.columns
     sets = texts.join(ids, F.col(key) == F.col("doc"), "left_semi").select(
         F.col(key).alias("doc"), F.col(text).alias("text")
     ).mapInArrow(_sets, SETS)
-    one = sets.select(F.col("doc").alias("a"), F.col("set").alias("set_a"))
-    two = sets.select(F.col("doc").alias("b"), F.col("set").alias("set_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(
-        lambda batches: _linked(batches, least), "a bigint, b bigint"
-    ).distinct()
+    return (
+        sets.select(F.col("doc").alias("a"), F.col("set").alias("set_a")),
+        sets.select(F.col("doc").alias("b"), F.col("set").alias("set_b")),
+    )
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
@@ -105,7 +112,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
                         F.col(f"`{text}`").alias("text"))
     sketched = durable(texts.mapInArrow(_sketches, SKETCHED), "sketches")
     linkable = sketched.where(F.col("digest").isNotNull() & F.col("doc").isNotNull())
-    classes = linkable.groupBy("digest").agg(F.min("doc").alias("rep"))
+    # Written, so that a large class is split when it is joined.
+    classes = durable(linkable.groupBy("digest").agg(
+        F.min("doc").alias("rep"), F.count("*").alias("rows")
+    ).where("rows > 1").select("digest", "rep"), "reps")
     in_class = durable(
         sketched.select("doc", "n", "digest").join(classes, "digest", "left").select(
             "doc", "n", F.when(F.col("doc").isNotNull(), F.coalesce("rep", "doc")).alias("rep")
@@ -119,10 +129,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         F.col("doc").alias("a"), F.col("rep").alias("b")
     )
 
-    reps = linkable.join(
-        classes.select(F.col("digest").alias("_d"), "rep"),
-        (F.col("digest") == F.col("_d")) & (F.col("doc") == F.col("rep")), "left_semi",
-    )
+    reps = linkable.join(classes, "digest", "left").where("rep is null or rep = doc")
     rows = reps.select("doc", "n", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(
         F.min("doc").alias("hub"), F.max("doc").alias("top")
@@ -144,14 +151,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         links = links.unionAll(durable(confirmed(second, texts, least), "links"))
         labels = components(links)
         split = _split_buckets(members, labels)
-    mine = split.where("doc <> hub")
-    other = mine.select("band", *[F.col(c).alias(f"{c}2") for c in ("doc", "n", "label")])
-    third = durable(
-        mine.join(other, "band").where(
-            (F.col("doc") < F.col("doc2")) & (F.col("label") != F.col("label2"))
-            & (100 * F.least("n", "n2") >= least * F.greatest("n", "n2"))
-        ).select(F.col("doc").alias("a"), F.col("doc2").alias("b")).distinct(), "pairs",
-    )
+    third = durable(_across(split, texts, least), "pairs")
     if not third.isEmpty():
         links = links.unionAll(durable(confirmed(third, texts, least), "links"))
         labels = components(links)
@@ -160,7 +160,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         "doc", F.col("n").alias("n_shingles"), component.alias("component"),
         F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept"),
     )
-    discard(sketched, members, first, second, third)
+    discard(sketched, classes, members, first, second, third)
     return out
 
 
@@ -175,6 +175,76 @@ def _split_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
     return named.drop("component").join(mixed, "band")
 
 
+APART = ("v bigint, hv bigint, doc bigint, label bigint, size int, weight double, slack double, "
+         "elements array<bigint>")
+
+
+def _apart(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Of `(a, b, label, set_a, set_b)` what sets a apart from its hub b.
+
+    With c = least / (100 + least), and r elements of the hub missing in x and s added,
+    x and y are similar enough only if they share g(x) + g(y) - (1 - 2c) |b| of them,
+    where g = (1 - c) r + c s: the weight. The last term is the slack.
+    """
+    c = least / (100 + least)
+    for batch in batches:
+        rows = []
+        for i in range(batch.num_rows):
+            x, y = (batch.column(k)[i].as_buffer() for k in (3, 4))
+            versions = [int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True) for s in (x, y)]
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            missing, added = np.setdiff1d(y, x, True), np.setdiff1d(x, y, True)
+            rows.append((
+                *versions, batch.column(0)[i].as_py(), batch.column(2)[i].as_py(), len(missing) + len(added),
+                (1 - c) * len(missing) + c * len(added), (1 - 2 * c) * len(y),
+                np.concatenate([missing, added]).view(np.int64),
+            ))
+        kinds = [*[pa.int64()] * 4, pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)] if rows
+            else [pa.array([], k) for k in kinds],
+            [part.split()[0] for part in APART.split(", ")],
+        )
+
+
+def _across(split: DataFrame, texts: DataFrame, least: int) -> DataFrame:
+    """Pairs `(a, b)` of different components in the buckets of one hub that may be similar
+    enough; a superset of those that are.
+
+    Members linked to the hub (weight within the slack) are in its component, so only
+    pairs with a member beyond it matter. Such a pair shares more than the weight of
+    either one's elements - of the farther one, less the slack. Elements are put in order
+    of rarity around the hub; a pair that shares t of a member's n elements shares one of
+    its n - t + 1 rarest.
+    """
+    pairs = split.where("doc <> hub").select(
+        F.col("doc").alias("a"), F.col("hub").alias("b"), "label"
+    ).distinct()
+    one, two = _pair_sets(pairs, texts)
+    apart = durable(
+        pairs.join(one, "a").join(two, "b").select("a", "b", "label", "set_a", "set_b")
+        .mapInArrow(lambda batches: _apart(batches, least), APART), "apart",
+    )
+    rows = apart.select("*", F.explode("elements").alias("element")).drop("elements")
+    common = rows.groupBy("hv", "element").agg(F.count("*").alias("holders"))
+    far = F.col("weight") > F.col("slack") + 1e-9
+    rank = F.row_number().over(W.partitionBy("hv", "doc", "v").orderBy("holders", "element"))
+    whole = lambda x: F.floor(x - 1e-9)  # noqa: E731  rounding errors only lengthen a prefix
+    ranked = rows.join(common, ["hv", "element"]).select(
+        "hv", "element", "doc", "label", "holders", far.alias("far"), rank.alias("rank"),
+        (F.col("size") - whole(F.col("weight"))).alias("short"),
+        (F.col("size") - F.greatest(whole(F.col("weight") - F.col("slack")), F.lit(0))).alias("long"),
+    ).where((F.col("holders") > 1) & (F.col("rank") <= F.when(F.col("far"), F.col("long")).otherwise(F.col("short"))))
+    ranked = durable(ranked.select(
+        "hv", "element", "doc", "label", "far", (F.col("rank") <= F.col("short")).alias("short")
+    ), "prefixes")
+    left = ranked.where("far")
+    right = ranked.where("short").select("hv", "element", *[F.col(c).alias(f"{c}2") for c in ("doc", "label", "far")])
+    return left.join(right, ["hv", "element"]).where(
+        "label <> label2 and (not far2 or (short and doc < doc2))"
+    ).select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
+
+
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
                          least: int = LEAST_PERCENT) -> DataFrame:
     """`docs` with one row of each group of near-duplicates; rows that repeat the kept
