@@ -10,6 +10,7 @@ from pyspark.sql.types import StringType
 from rostrum.llm import chat, decontaminate, quality, toxicity, warc
 from rostrum.llm.linededup import dedup_lines
 from rostrum.llm.neardup import near_duplicates
+from rostrum.llm.neighbours import search
 from rostrum.llm.packing import pack, pieces
 from rostrum.llm.registry import crc32_of, fresh, query, table
 from rostrum.llm.sharding import placements
@@ -212,3 +213,9 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     items = table(spark, folder, "benchmark").select("item_id", "text")
     marked, names = decontaminate.mark(docs, items)
     return marked.select("doc_id", *names)
+
+
+@query()
+def op3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 10 nearest found for every hundredth vector, among all others."""
+    return search(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
