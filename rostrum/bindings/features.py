@@ -267,8 +267,9 @@ def customer_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFr
     features, excluded = summarise(event_predictions(spark, folder), "talk", EVENT_TASKS)
     talks = table(spark, folder, "customer").select(F.col("c_custkey").alias("talk"), "c_mktsegment")
     vector = F.col("embedding").cast("array<double>")
-    mfcc = table(spark, folder, "embeddings").where(F.get(vector, F.lit(0)) > -0.1).select(
-        F.col("vec_id").alias("talk"), vector.alias("mfccs_mean"), vector.alias("mfccs_std")
+    # Even keys only: every other customer has no MFCC.
+    mfcc = table(spark, folder, "embeddings").select(
+        (F.col("vec_id") * 2).alias("talk"), vector.alias("mfccs_mean"), vector.alias("mfccs_std")
     )
     return feature_table(talks, features, excluded, mfcc, "talk")
 
@@ -278,7 +279,7 @@ select w.talk, c_mktsegment, round(pauses_mean, 3) as pauses_mean,
        round(click_low_90p, 6) as click_low_90p, embedding[1]::double as first_mfcc
 from wide w join problems p on p.talk = w.talk and reason is null
 join vectors v on v.talk = w.talk
-join customer on c_custkey = w.talk join embeddings on vec_id = w.talk and embedding[1] > -0.1""")
+join customer on c_custkey = w.talk join embeddings on vec_id * 2 = w.talk""")
 def talk_table(spark: SparkSession, folder: str) -> DataFrame:
     joined, _ = customer_tables(spark, folder)
     return joined.select(
@@ -293,7 +294,7 @@ select talk, reason from (
   select c_custkey as talk, coalesce(p.reason, case when p.talk is null then 'no_result'
                                       when vec_id is null then 'no_mfcc' end) as reason
   from customer left join problems p on p.talk = c_custkey
-  left join embeddings on vec_id = c_custkey and embedding[1] > -0.1
+  left join embeddings on vec_id * 2 = c_custkey
 ) where reason is not null""")
 def talk_table_excluded(spark: SparkSession, folder: str) -> DataFrame:
     _, excluded = customer_tables(spark, folder)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rostrum.bindings.registry import query, rounded
-from rostrum.bindings.targets import SQL_ORDER_LEVELS, order_levels
+from rostrum.bindings.targets import SQL_ALL_LEVELS, order_levels
 from rostrum.operators import metrics as M
 from rostrum.operators.models import stratified_baseline
 from rostrum.operators.positions import hash_folds
@@ -24,7 +24,7 @@ TARGETS = {"1-URGENT": "views", "2-HIGH": "comments_per_view"}
 def guesses(spark: SparkSession, folder: str) -> DataFrame:
     z = F.col("comments_z")
     # Every order with lines has both levels; the raw column reaches the join.
-    rows = hash_folds(order_levels(spark, folder), "o_orderkey").where(
+    rows = hash_folds(order_levels(spark, folder, years=None), "o_orderkey").where(
         F.col("comments").isNotNull()
     )
     target, kind = F.col("o_orderpriority"), F.col("o_orderstatus")
@@ -38,7 +38,7 @@ def guesses(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL_FOLD = "('0x' || substr(md5({}::varchar || '|42'), 1, 8))::bigint % 5"
-SQL_GUESSES = f"""{SQL_ORDER_LEVELS}, guesses as (
+SQL_GUESSES = f"""{SQL_ALL_LEVELS}, guesses as (
   select case o_orderpriority when '1-URGENT' then 'views' when '2-HIGH' then 'comments_per_view'
          else o_orderpriority end as target,
          case o_orderstatus when 'F' then 'Embeddings' when 'O' then 'MFCC' when 'P' then 'Text'

@@ -16,7 +16,8 @@ COLUMNS = ("comments", "speaker_id", "wc", "wpm", "duration", "comments_views",
 
 def survey(spark: SparkSession, folder: str) -> DataFrame:
     """The source speaks, the language tells the age; a rating is listed twice, so
-    that its last entry counts. Documents without labels have no comments."""
+    that its last entry counts. Documents without labels have no comments, and every
+    seventh has no transcript."""
     labels = table(spark, folder, "labels")
     documents = table(spark, folder, "documents").join(labels, "doc_id", "left")
     lang, chars = F.col("lang"), F.col("n_chars")
@@ -26,7 +27,7 @@ def survey(spark: SparkSession, folder: str) -> DataFrame:
 
     talks = documents.select(
         "doc_id", F.col("source").alias("main_speaker"),
-        F.when(lang != "de", F.col("text")).alias("transcript"),
+        F.when(F.col("doc_id") % 7 != 0, F.col("text")).alias("transcript"),
         chars.alias("duration"), (chars % 1000).alias("views"),
         (F.col("quality") * 3 + F.col("toxic")).alias("comments"),
         F.when(lang == "en", "18 - 22").when(lang == "fr", "23 - 30").when(lang == "de", "46 - 65")
@@ -45,7 +46,7 @@ with codes as (
   from documents group by 1
 ), talks as (
   select d.doc_id, speaker_id, n_chars, n_chars % 1000 as views, quality * 3 + toxic as comments,
-         case when lang <> 'de' then len({SQL_WORDS}) else 0 end::int as wc,
+         case when d.doc_id % 7 <> 0 then len({SQL_WORDS}) else 0 end::int as wc,
          case lang when 'en' then 0 when 'fr' then 1 when 'de' then 3 end::int as age,
          10 + n_chars + coalesce(quality, 0) as total, coalesce(quality, 0) + 1 as q
   from documents d join codes using (source) left join labels l on l.doc_id = d.doc_id

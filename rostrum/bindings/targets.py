@@ -38,9 +38,13 @@ def order_talks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def order_levels(spark: SparkSession, folder: str) -> DataFrame:
-    """Z-scores and levels of the orders of 1996 to 2000."""
-    talks = with_years(order_talks(spark, folder)).where(F.col("film_year").between(1996, 2000))
+def order_levels(
+    spark: SparkSession, folder: str, years: tuple[int, int] | None = (1996, 2000)
+) -> DataFrame:
+    """Z-scores and levels of the orders of 1996 to 2000, or of all."""
+    talks = with_years(order_talks(spark, folder))
+    if years:
+        talks = talks.where(F.col("film_year").between(*years))
     scored = zscore(popularity_columns(talks), {
         "log_views": "views_z", "log_comments": "comments_z", "log_comments_per_view": "cpv_z",
     })
@@ -58,11 +62,12 @@ with items as (
          o_orderdate as film_date, o_orderdate + interval 45 day as published_date
   from orders left join items on l_orderkey = o_orderkey
 )"""
-SQL_ORDER_LEVELS = f"""{SQL_ORDER_TALKS},
+def _sql_levels(where: str) -> str:
+    return f"""{SQL_ORDER_TALKS},
 scored as (
   select *, {sql_z('ln(views)')} as views_z, {sql_z('ln(comments)')} as comments_z,
          {sql_z('ln(comments / views)')} as cpv_z
-  from talks where year(film_date) between 1996 and 2000
+  from talks {where}
 ), levels as (
   select *, {sql_level('views_z')} as views_level, {sql_level('comments_z')} as comments_level,
          {sql_level('cpv_z')} as cpv_level
@@ -70,6 +75,10 @@ scored as (
 )"""
 
 
+SQL_ORDER_LEVELS = _sql_levels("where year(film_date) between 1996 and 2000")
+SQL_ALL_LEVELS = _sql_levels("")
+
+
 @query(f"""{SQL_ORDER_LEVELS}
 select views_level, comments_level, count(*) as n from levels group by 1, 2""")
 def popularity_levels(spark: SparkSession, folder: str) -> DataFrame:

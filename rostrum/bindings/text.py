@@ -65,9 +65,8 @@ def url_join(spark: SparkSession, folder: str) -> DataFrame:
 @query("select page_id, url from pages where url not like '%?%'")
 def url_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", "url")
-    partners = pages.where(F.col("url").contains("?")).select(
-        F.concat(F.lit(" "), "url", F.lit("\n")).alias("url")
-    )
+    other = F.when(F.col("url").contains("?"), "").otherwise("#other")
+    partners = pages.select(F.concat(F.lit(" "), "url", other, F.lit("\n")).alias("url"))
     return unmatched(pages, partners, "url")
 
 
