@@ -31,10 +31,18 @@ def utterances(
         F.min("pos").alias("ord"),
         F.min_by(F.struct("st", "et"), "pos").alias("span"),
         *[last("prediction", task).alias(task) for task in tasks],
+        *[_last_bare(task).alias(f"{task}_bare") for task in tasks],
         last("vector", EMBEDDING_TASK).alias("vector"),
         F.max("bad").alias("bad"),
     )
-    return out.select(key, "id", "ord", "span.st", "span.et", *tasks, "vector", "bad")
+    return out.select(key, "id", "ord", "span.st", "span.et", *tasks,
+                      *[f"{t}_bare" for t in tasks], "vector", "bad")
+
+
+def _last_bare(task: str) -> Column:
+    """Whether the last prediction of a task comes without a list."""
+    mine = F.col("task") == task
+    return F.max_by(F.when(mine, F.col("prediction").isNull()), F.when(mine, F.col("pos")))
 
 
 def label_value(task: str, label: str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -49,17 +49,24 @@ def problems(utts: DataFrame, key: str, tasks: Mapping[str, Sequence[str]] = TAS
         label_value(task, label).isNotNull() & label_value(task, label)["posterior"].isNull()
         for task, names in tasks.items() for label in names
     ])
+    # The last prediction of a known task has no list.
+    no_list = reduce(or_, [F.col(f"{task}_bare") for task in tasks])
+    no_document = F.col("id").isNull() & F.col("ord").isNull()
     bad = F.col("bad") | F.col("id").isNull() | F.col("st").isNull() | F.col("et").isNull()
     with_vector = F.size("vector") > 0
     checks = utts.groupBy(key).agg(
         F.max(F.coalesce(bad, F.lit(False)) | F.coalesce(no_number, F.lit(False))).alias("bad"),
+        F.max(no_document).alias("no_document"),
+        F.max(F.coalesce(no_list, F.lit(False))).alias("no_list"),
         F.count("*").alias("n"),
         F.sum(F.when(with_vector, F.col("et") - F.col("st"))).alias("weight"),
         F.min(F.size("vector")).alias("narrow"), F.max(F.size("vector")).alias("wide"),
     )
     return checks.select(
         key,
-        F.when(F.col("bad"), "bad_number")
+        F.when(F.col("no_document"), "bad_document")
+        .when(F.col("no_list"), "bad_prediction")
+        .when(F.col("bad"), "bad_number")
         .when(F.col("n") < 2, "lt2_utterances")
         .when(F.col("weight").isNull() | (F.col("weight") == 0), "no_embedding")
         .when(F.col("narrow") != F.col("wide"), "uneven_embedding").alias("reason"),
@@ -87,6 +94,12 @@ def talk_features(
         key, F.col("vec_mean").alias("features_embedding_mean"),
         F.col("vec_std").alias("features_embedding_std"),
     )
+    # Overlapping turns weigh less than nothing; their deviation may not exist.
+    undefined = vectors.where(
+        F.exists("features_embedding_std", lambda x: x.isNull())
+        | F.exists("features_embedding_mean", lambda x: x.isNull())
+    ).join(excluded, key, "left_anti").select(key, F.lit("undefined_deviation").alias("reason"))
+    excluded = durable(excluded.unionByName(undefined), "excluded")
     features = scalars.join(vectors, key).join(excluded.select(key), key, "left_anti")
     return features, excluded
 
@@ -119,6 +132,12 @@ def model_table(
     joined = drop_incomplete(
         join_on_text(features, text_embeddings, key, null_as_text), csv_parity=csv_parity
     )
+    # A vector with a gap, or not as wide as the others, cannot be scaled.
+    vectors = ("features_embedding_mean", "features_embedding_std", "mfccs_mean", "mfccs_std", "embeddings")
+    widths = joined.agg(F.struct(*[F.mode(F.size(v), True).alias(v) for v in vectors])).scalar()
+    joined = joined.withColumn("_widths", widths).where(reduce(and_, [
+        (F.size(v) == F.col("_widths")[v]) & ~F.exists(v, lambda x: x.isNull()) for v in vectors
+    ]))
     return joined.select(
         key, *[f"`{t}`" for t in targets],
         concat("features_embedding_mean", "features_embedding_std").alias("x_embedding"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -21,8 +22,14 @@ def with_years(df: DataFrame) -> DataFrame:
 
 
 def select_talks(df: DataFrame, years: tuple[int, int] = YEARS, speakers: int = 1) -> DataFrame:
-    """Talks filmed in the years given, by that many speakers. Expects `film_year`."""
-    return df.where(F.col("film_year").between(*years) & (F.col("num_speaker") == speakers))
+    """Talks filmed in the years given (UTC), by that many speakers. The test is on the raw
+    epoch column, so that it reaches the scan."""
+    first, last = (
+        int(datetime(y, 1, 1, tzinfo=timezone.utc).timestamp()) for y in (years[0], years[1] + 1)
+    )
+    return df.where(
+        (F.col("film_date") >= first) & (F.col("film_date") < last) & (F.col("num_speaker") == speakers)
+    )
 
 
 def popularity_columns(df: DataFrame) -> DataFrame:

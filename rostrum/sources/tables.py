@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rostrum.functions.ratings import parse_ratings
 from rostrum.functions.vectors import parse_vector
@@ -24,28 +26,69 @@ MISSING_WORDS = (
 )
 
 
-def _read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def _read_csv(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
     """CSV by column name, with quoted line breaks and doubled quotes.
 
     Every column comes in as text first, so that the words for "missing" can be
-    told from data before the cast to the schema's type.
+    told from data before the cast to the schema's type. Files are read group by
+    group of equal headers, so a column keeps its name wherever it stands. A field
+    that is no number of its column's type becomes NULL; `strict` stops at it.
     """
-    raw = (
-        spark.read.option("header", True).option("multiLine", True)
-        .option("quote", '"').option("escape", '"').option("inferSchema", False)
-        .csv(path)
-    )
+    def read(paths: list[str]) -> DataFrame:
+        return (
+            spark.read.option("header", True).option("multiLine", True)
+            .option("quote", '"').option("escape", '"').option("inferSchema", False)
+            .csv(paths)
+        )
+
     wanted = spark.createDataFrame([], schema).schema
-    return raw.select(*[
-        F.when(~F.col(f"`{f.name}`").isin(*MISSING_WORDS), F.col(f"`{f.name}`"))
-        .cast(f.dataType).alias(f.name)
-        for f in wanted
-    ])
+    parts = [read(files).select(*[
+        csv_value(F.col(f"`{f.name}`"), f.dataType.simpleString(), strict).alias(f.name) for f in wanted
+    ]) for files in _by_header(spark, path)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def csv_value(text: Column, kind: str, strict: bool = False) -> Column:
+    """A CSV field as a value: words for "missing" are NULL, and a whole number may be
+    written with a fraction of zeros (`3.0`)."""
+    given = F.when(~text.isin(*MISSING_WORDS), text)
+    if kind == "string":
+        return given
+    if kind != "bigint":
+        return given.cast(kind) if strict else given.try_cast(kind)
+    # The number itself first: a large id must not pass through a float.
+    loose = given.try_cast("decimal(38,10)")
+    value = F.coalesce(given.try_cast("bigint"), F.when(loose == F.floor(loose), loose.try_cast("bigint")))
+    if strict:
+        broken = given.isNotNull() & value.isNull()
+        return F.when(broken, F.raise_error(F.concat(F.lit("no whole number: "), given))).otherwise(value)
+    return value
+
+
+def _by_header(spark: SparkSession, path: str) -> list[list[str]]:
+    """Files of equal first lines. One short row per file reaches the driver."""
+    heads = (
+        spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value"),
+                                     F.col("_metadata.file_block_start").alias("at"))
+        .where(F.col("at") == 0)
+        .withColumn("row", F.monotonically_increasing_id())
+        .groupBy("file").agg(F.min_by("value", "row").alias("head")).collect()
+    )
+    groups: dict[str, list[str]] = {}
+    for r in heads:
+        groups.setdefault(r["head"].strip("\ufeff\r"), []).append(r["file"])
+    return list(groups.values()) or [[path]]
+
+
+def _format(path: str, format: str | None) -> str:
+    return format or ("csv" if path.rstrip("/").endswith(".csv") else "parquet")
 
 
-def read_talks(spark: SparkSession, path: str, schema: str = TALK_SCHEMA) -> DataFrame:
+def read_talks(
+    spark: SparkSession, path: str, schema: str = TALK_SCHEMA, strict: bool = False
+) -> DataFrame:
     """Talk metadata with `ratings` decoded. Columns not in `schema` are left out."""
-    talks = _read_csv(spark, path, schema)
+    talks = _read_csv(spark, path, schema, strict)
     return talks.withColumn("ratings", parse_ratings("ratings"))
 
 
@@ -54,9 +97,10 @@ def read_mfcc(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MFCC_SCHEMA).parquet(path)
 
 
-def read_text_embeddings(spark: SparkSession, path: str) -> DataFrame:
-    """Transcript embeddings: CSV with list text, or Parquet with arrays."""
-    if path.rstrip("/").endswith(".csv"):
+def read_text_embeddings(spark: SparkSession, path: str, format: str | None = None) -> DataFrame:
+    """Transcript embeddings: CSV with list text, or Parquet with arrays. Without `format`
+    the path's ending tells them apart; name it for a folder of CSV parts."""
+    if _format(path, format) == "csv":
         table = _read_csv(spark, path, EMBEDDING_SCHEMA)
         return table.withColumn("embeddings", parse_vector("embeddings"))
     return spark.read.parquet(path).select(
@@ -64,9 +108,9 @@ def read_text_embeddings(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_scores(spark: SparkSession, path: str) -> DataFrame:
+def read_scores(spark: SparkSession, path: str, format: str | None = None) -> DataFrame:
     """The long score table."""
-    if path.rstrip("/").endswith(".csv"):
+    if _format(path, format) == "csv":
         return _read_csv(spark, path, SCORE_SCHEMA)
     return spark.read.schema(SCORE_SCHEMA).parquet(path)
 
