@@ -141,50 +141,34 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     links = durable(confirmed(first, texts, least).unionAll(ties), "links")
     labels = components(links)
 
-    split = _split_buckets(members, labels)
-    second = durable(
-        split.where("doc <> hub and label <> hub_label")
-        .select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct()
-        .join(first, ["a", "b"], "left_anti"), "pairs",
-    )
-    if not second.isEmpty():
-        links = links.unionAll(durable(confirmed(second, texts, least), "links"))
-        labels = components(links)
-        split = _split_buckets(members, labels)
-    third = durable(_across(split, texts, least), "pairs")
-    if not third.isEmpty():
-        links = links.unionAll(durable(confirmed(third, texts, least), "links"))
-        labels = components(links)
+    apart = durable(_apart_from_centre(members, first, labels, texts, least), "apart")
+    links = links.unionAll(apart.where("weight <= slack + 1e-9").select(
+        F.col("doc").alias("a"), F.col("centre").alias("b")
+    ))
+    across = durable(_across(apart), "pairs")
+    if not across.isEmpty():
+        links = links.unionAll(durable(confirmed(across, texts, least), "links"))
+    labels = components(links)
     component = F.coalesce("component", "rep")
     out = in_class.join(labels, F.col("rep") == F.col("id"), "left").select(
         "doc", F.col("n").alias("n_shingles"), component.alias("component"),
         F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept"),
     )
-    discard(sketched, classes, members, first, second, third)
+    discard(sketched, classes, members, first, apart, across)
     return out
 
 
-def _split_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of the buckets that hold several components, with their labels."""
-    label = labels.select(F.col("id").alias("doc"), "component")
-    named = members.join(label, "doc", "left").withColumn("label", F.coalesce("component", "doc"))
-    mixed = named.groupBy("band").agg(
-        F.min("label").alias("lo"), F.max("label").alias("hi"),
-        F.max(F.when(F.col("doc") == F.col("hub"), F.col("label"))).alias("hub_label"),
-    ).where("lo <> hi").select("band", "hub_label")
-    return named.drop("component").join(mixed, "band")
-
-
-APART = ("v bigint, hv bigint, doc bigint, label bigint, size int, weight double, slack double, "
+APART = ("v bigint, hv bigint, doc bigint, centre bigint, label bigint, size int, weight double, slack double, "
          "elements array<bigint>")
 
 
 def _apart(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Of `(a, b, label, set_a, set_b)` what sets a apart from its hub b.
+    """Of `(a, b, label, set_a, set_b)` what sets a apart from its bucket's centre b.
 
-    With c = least / (100 + least), and r elements of the hub missing in x and s added,
+    With c = least / (100 + least), and r elements of the centre missing in x and s added,
     x and y are similar enough only if they share g(x) + g(y) - (1 - 2c) |b| of them,
-    where g = (1 - c) r + c s: the weight. The last term is the slack.
+    where g = (1 - c) r + c s: the weight. The last term is the slack. So x and the
+    centre itself are similar enough if and only if the weight is within the slack.
     """
     c = least / (100 + least)
     for batch in batches:
@@ -195,11 +179,11 @@ def _apart(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             missing, added = np.setdiff1d(y, x, True), np.setdiff1d(x, y, True)
             rows.append((
-                *versions, batch.column(0)[i].as_py(), batch.column(2)[i].as_py(), len(missing) + len(added),
+                *versions, *(batch.column(k)[i].as_py() for k in range(3)), len(missing) + len(added),
                 (1 - c) * len(missing) + c * len(added), (1 - 2 * c) * len(y),
                 np.concatenate([missing, added]).view(np.int64),
             ))
-        kinds = [*[pa.int64()] * 4, pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.int64())]
+        kinds = [*[pa.int64()] * 5, pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.int64())]
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)] if rows
             else [pa.array([], k) for k in kinds],
@@ -207,24 +191,44 @@ def _apart(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
         )
 
 
-def _across(split: DataFrame, texts: DataFrame, least: int) -> DataFrame:
-    """Pairs `(a, b)` of different components in the buckets of one hub that may be similar
-    enough; a superset of those that are.
-
-    Members linked to the hub (weight within the slack) are in its component, so only
-    pairs with a member beyond it matter. Such a pair shares more than the weight of
-    either one's elements - of the farther one, less the slack. Elements are put in order
-    of rarity around the hub; a pair that shares t of a member's n elements shares one of
-    its n - t + 1 rarest.
-    """
-    pairs = split.where("doc <> hub").select(
-        F.col("doc").alias("a"), F.col("hub").alias("b"), "label"
-    ).distinct()
+def _apart_from_centre(members: DataFrame, first: DataFrame, labels: DataFrame, texts: DataFrame,
+                       least: int) -> DataFrame:
+    """APART rows of the members of buckets that hold several components. A bucket's centre
+    is the root of the component that most of its members were first compared with: all
+    that follows holds for any centre, and is short for one that they resemble."""
+    label = labels.select(F.col("id").alias("doc"), "component")
+    hub_label = label.select(F.col("doc").alias("b"), F.col("component").alias("hub_component"))
+    known = members.select("doc").distinct().join(label, "doc", "left").join(
+        first.select(F.col("a").alias("doc"), "b"), "doc", "left"
+    ).join(hub_label, "b", "left").select(
+        "doc", F.coalesce("component", "doc").alias("label"),
+        F.coalesce("hub_component", "b", "component", "doc").alias("family"),
+    )
+    named = members.select("band", "doc").join(known, "doc")
+    mixed = named.groupBy("band", "family").agg(
+        F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")
+    ).groupBy("band").agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+        F.max_by("family", F.struct("n", -F.col("family"))).alias("centre"),
+    ).where("lo <> hi").select("band", "centre")
+    pairs = durable(named.join(mixed, "band").where("doc <> centre").select(
+        F.col("doc").alias("a"), F.col("centre").alias("b"), "label"
+    ).distinct(), "pairs")
     one, two = _pair_sets(pairs, texts)
-    apart = durable(
-        pairs.join(one, "a").join(two, "b").select("a", "b", "label", "set_a", "set_b")
-        .mapInArrow(lambda batches: _apart(batches, least), APART), "apart",
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "label", "set_a", "set_b").mapInArrow(
+        lambda batches: _apart(batches, least), APART
     )
+
+
+def _across(apart: DataFrame) -> DataFrame:
+    """Pairs `(a, b)` of members of one centre's buckets, in different components, that may
+    be similar enough; a superset of those that are.
+
+    Members within the slack are linked to the centre, so only pairs with a member beyond
+    it matter. Such a pair shares more than the weight of either one's elements - of the
+    farther one, less the slack. Elements are put in order of rarity around the centre; a
+    pair that shares t of a member's n elements shares one of its n - t + 1 rarest.
+    """
     rows = apart.select("*", F.explode("elements").alias("element")).drop("elements")
     common = rows.groupBy("hv", "element").agg(F.count("*").alias("holders"))
     far = F.col("weight") > F.col("slack") + 1e-9
