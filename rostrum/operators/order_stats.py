@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import and_, or_
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from rostrum.functions.numeric import finite, order_slot
+from rostrum.session import durable
+
+PARTS = 4096
 
 
 def describe(
@@ -16,39 +18,29 @@ def describe(
 ) -> DataFrame:
     """Per group: `n`, `mean`, population `std` and `p<100q>` by linear interpolation.
 
-    No task ever holds a whole group. Equal values are counted together before the
-    first shuffle; the distinct values of a group are then cut into order slots
-    (see `order_slot`). The slot counts show which slots hold the ranks asked for,
-    and only those are sorted, each in its own task. A group with a NaN or an
-    infinity keeps its `n` and has NULL for the rest.
+    No task ever holds a whole group. Rows are aggregated straight into order slots
+    (see `order_slot`); the slot counts show which slots hold the ranks asked for. The
+    rows of those are cut into PARTS equal parts between the slot's least and largest
+    value, however narrow that is, and only the parts that hold a rank are sorted. A group
+    with a NaN or an infinity keeps its `n` and has NULL for the rest.
     """
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
     ok = finite("v").isNotNull()
+    rows = rows.select(*keys, F.when(ok, order_slot("v")).alias("slot"), finite("v").alias("v"))
     cell_keys = [*keys, "slot"]
-    values = (
-        rows.select(*keys, F.when(ok, order_slot("v")).alias("slot"), finite("v").alias("v"))
-        .groupBy(*cell_keys, "v").agg(F.count("*").alias("c"))
-        .repartition(*[F.col(k) for k in cell_keys])
-    )
-    v, c = F.col("v"), F.col("c")
-    # The cell's mean comes first: squares of close values would cancel each other.
-    cell = W.partitionBy(*cell_keys)
-    cells = values.withColumn("m", F.sum(v * c).over(cell) / F.sum("c").over(cell)).groupBy(
-        *cell_keys
-    ).agg(
-        F.sum("c").alias("cn"), F.first("m").alias("cmean"),
-        F.sum(c * (v - F.col("m")) * (v - F.col("m"))).alias("cdev"),
-        F.min("v").alias("lo"), F.max("v").alias("hi"),
+    # One row per task and cell reaches the shuffle; moments merge without a common centre.
+    cells = rows.groupBy(*cell_keys).agg(
+        F.count("*").alias("cn"), F.avg("v").alias("cmean"),
+        (F.var_pop("v") * F.count("v")).alias("cdev"), F.min("v").alias("lo"), F.max("v").alias("hi"),
     ).withColumns({
         "cmean": F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("cmean")),
         "cdev": F.when(F.col("lo") == F.col("hi"), 0.0).otherwise(F.col("cdev")),
     })
     # A few thousand cells at most per group meet here, however many rows it has.
     group = W.partitionBy(*keys)
-    below = group.orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
     # The ordered window goes first: its sort serves the other one as well.
-    cells = cells.withColumn("before", F.coalesce(F.sum("cn").over(below), F.lit(0))).select(
+    cells = cells.withColumn("before", _below("cn", keys, "slot")).select(
         "*",
         F.sum("cn").over(group).alias("n"),
         (F.sum(F.col("cn") * F.col("cmean")).over(group) / F.sum("cn").over(group)).alias("gmean"),
@@ -62,17 +54,17 @@ def describe(
         )
         for i, q in enumerate(quantiles) for side in ("lo", "hi")
     }
-    inside = {
-        r: (F.col("before") <= rank) & (rank < F.col("before") + F.col("cn"))
-        for r, rank in ranks.items()
-    }
-    # The ends of a cell are known already; anything between has to be looked up.
-    known = {
-        r: F.when(inside[r] & (rank == F.col("before")), F.col("lo"))
-        .when(inside[r] & ((rank == F.col("before") + F.col("cn") - 1)
-                           | (F.col("lo") == F.col("hi"))), F.col("hi"))
-        for r, rank in ranks.items()
-    }
+    wanted = F.array(*[
+        F.struct(F.lit(r).alias("r"), rank.cast("bigint").alias("at")) for r, rank in ranks.items()
+    ])
+    cells = cells.select(
+        *cell_keys, "cn", "cmean", "cdev", "lo", "hi", "n", "gmean", "spoilt",
+        F.transform(
+            F.filter(wanted, lambda x: (F.col("before") <= x["at"]) & (x["at"] < F.col("before") + F.col("cn"))),
+            lambda x: F.struct(x["r"].alias("r"), (x["at"] - F.col("before")).alias("at")),
+        ).alias("wanted"),
+    )
+    cells = durable(cells, "cells")
     summary = cells.groupBy(*keys).agg(
         F.first("n").alias("n"),
         F.first("gmean").alias("mean"),
@@ -81,36 +73,31 @@ def describe(
             * (F.col("cmean") - F.col("gmean"))
         ) / F.first("n")).alias("std"),
         F.max("spoilt").alias("spoilt"),
-        *[F.max(known[r]).alias(r) for r in ranks],
     )
-    wanted = F.filter(
-        F.array(*[
-            F.struct(
-                F.lit(r).alias("r"),
-                F.when(inside[r] & known[r].isNull(), rank - F.col("before")).alias("at"),
-            ) for r, rank in ranks.items()
-        ]),
-        lambda x: x["at"].isNotNull(),
-    )
-    unknown = reduce(or_, [inside[r] & known[r].isNull() for r in ranks])
-    lookups = cells.where(unknown).select(
-        *[F.col(k).alias(f"_{k}") for k in cell_keys], wanted.alias("wanted")
-    )
-    in_cell = W.partitionBy(*cell_keys).orderBy("v").rowsBetween(W.unboundedPreceding, -1)
-    # Null-safe, so that a NULL group counts as a group and both readers of
-    # `values` share one shuffle.
-    same_cell = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in cell_keys])
-    found = (
-        values.join(lookups, same_cell)
-        .withColumn("b", F.coalesce(F.sum("c").over(in_cell), F.lit(0)))
-        .select(*keys, "v", F.explode(F.filter(
-            "wanted", lambda x: (x["at"] >= F.col("b")) & (x["at"] < F.col("b") + F.col("c"))
-        )).alias("w"))
-        .groupBy(*keys).agg(*[
-            F.max(F.when(F.col("w.r") == r, F.col("v"))).alias(r) for r in ranks
-        ])
-    )
-    stats = summary.unionByName(found, allowMissingColumns=True).groupBy(*keys).agg(
+    found = [_known(cells, keys)]
+    lookups = _unknown(cells, cell_keys)
+    # Rows of the cells that hold a rank, cut again between the cell's own ends.
+    inside = durable(rows.join(lookups, [_same(k) for k in cell_keys]).select(
+        *cell_keys, "v", "wanted", _part("v", "lo", "hi").alias("part")
+    ), "ranked")
+    parts = inside.groupBy(*cell_keys, "part").agg(
+        F.count("*").alias("cn"), F.min("v").alias("lo"), F.max("v").alias("hi"),
+        F.first("wanted").alias("wanted"),
+    ).withColumn("before", _below("cn", cell_keys, "part")).withColumn("wanted", _moved("cn"))
+    parts = durable(parts.where(F.size("wanted") > 0), "parts")
+    found.append(_known(parts, keys))
+    # What is still between two values is sorted: a few of a cell's values each.
+    part_keys = [*cell_keys, "part"]
+    last = inside.drop("wanted").join(_unknown(parts, part_keys), [_same(k) for k in part_keys]).groupBy(
+        *part_keys, "v"
+    ).agg(F.count("*").alias("cn"), F.first("wanted").alias("wanted")).withColumn(
+        "before", _below("cn", part_keys, "v")
+    ).withColumn("wanted", _moved("cn"))
+    found.append(last.select(*keys, F.explode("wanted").alias("w"), "v").select(*keys, "w.r", "v"))
+    values = reduce(DataFrame.unionAll, found).groupBy(*keys).agg(*[
+        F.max(F.when(F.col("r") == r, F.col("v"))).alias(r) for r in ranks
+    ])
+    stats = summary.unionByName(values, allowMissingColumns=True).groupBy(*keys).agg(
         F.max("n").alias("n"), F.max("mean").alias("mean"), F.max("std").alias("std"),
         F.max("spoilt").alias("spoilt"), *[F.max(r).alias(r) for r in ranks],
     )
@@ -122,3 +109,44 @@ def describe(
     return stats.select(*keys, "n", *[
         F.when(~F.col("spoilt"), e).alias(name) for name, e in out.items()
     ])
+
+
+def _below(count: str, keys: Sequence[str], order: str) -> Column:
+    """Rows in the cells of a group before this one."""
+    before = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    return F.coalesce(F.sum(count).over(before), F.lit(0))
+
+
+def _part(v: str, lo: str, hi: str) -> Column:
+    """Which of PARTS equal parts of [lo, hi] a value lies in; never falls as v grows."""
+    share = F.try_divide(F.col(v) / 2 - F.col(lo) / 2, F.col(hi) / 2 - F.col(lo) / 2)
+    return F.least(F.floor(F.coalesce(share, F.lit(0.0)) * PARTS), F.lit(PARTS - 1)).cast("int")
+
+
+def _moved(count: str) -> Column:
+    """The wanted ranks that lie in this cell, counted from its start."""
+    mine = F.filter("wanted", lambda x: (F.col("before") <= x["at"]) & (x["at"] < F.col("before") + F.col(count)))
+    return F.transform(mine, lambda x: F.struct(x["r"].alias("r"), (x["at"] - F.col("before")).alias("at")))
+
+
+def _at_an_end(x: Column) -> Column:
+    return (x["at"] == 0) | (x["at"] == F.col("cn") - 1) | (F.col("lo") == F.col("hi"))
+
+
+def _known(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`(keys, r, v)` of the ranks at a cell's ends."""
+    ends = cells.select(*keys, "lo", "hi", F.explode(F.filter("wanted", _at_an_end)).alias("w"))
+    return ends.select(*keys, "w.r", F.when(F.col("w.at") == 0, F.col("lo")).otherwise(F.col("hi")).alias("v"))
+
+
+def _unknown(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Cells with a rank between their ends, under other names for a join."""
+    return cells.select(
+        *[F.col(k).alias(f"_{k}") for k in keys], "lo", "hi",
+        F.filter("wanted", lambda x: ~_at_an_end(x)).alias("wanted"),
+    ).where(F.size("wanted") > 0)
+
+
+def _same(k: str) -> Column:
+    # Null-safe, so that a NULL group counts as a group.
+    return F.col(k).eqNullSafe(F.col(f"_{k}"))
