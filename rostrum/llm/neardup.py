@@ -142,7 +142,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     labels = components(links)
 
     apart = durable(_apart_from_centre(members, first, labels, texts, least), "apart")
-    links = links.unionAll(apart.where("weight <= slack + 1e-9").select(
+    links = links.unionAll(apart.where("linked").select(
         F.col("doc").alias("a"), F.col("centre").alias("b")
     ))
     across = durable(_across(apart), "pairs")
@@ -158,8 +158,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     return out
 
 
-APART = ("v bigint, hv bigint, doc bigint, centre bigint, label bigint, size int, weight double, slack double, "
-         "elements array<bigint>")
+APART = ("v bigint, hv bigint, mode int, doc bigint, centre bigint, label bigint, linked boolean, asks boolean, "
+         "size int, share double, short int, long int, elements array<bigint>")
+BY_CENTRE, WHOLE = 0, 1
 
 
 def _apart(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -168,7 +169,14 @@ def _apart(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
     With c = least / (100 + least), and r elements of the centre missing in x and s added,
     x and y are similar enough only if they share g(x) + g(y) - (1 - 2c) |b| of them,
     where g = (1 - c) r + c s: the weight. The last term is the slack. So x and the
-    centre itself are similar enough if and only if the weight is within the slack.
+    centre itself are similar enough if and only if the weight is within the slack; of two
+    such nothing more need be known. Any other pair shares more than either one's weight,
+    of the farther one less the slack: `short` and `long` say how many of a member's
+    rarest elements must hold one of them.
+
+    Distances obey the triangle rule: a member over twice the allowed distance from the
+    centre is similar to none that is linked to it. It meets the others by its whole set,
+    of which similar ones share `least` percent.
     """
     c = least / (100 + least)
     for batch in batches:
@@ -178,12 +186,20 @@ def _apart(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
             versions = [int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True) for s in (x, y)]
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             missing, added = np.setdiff1d(y, x, True), np.setdiff1d(x, y, True)
-            rows.append((
-                *versions, *(batch.column(k)[i].as_py() for k in range(3)), len(missing) + len(added),
-                (1 - c) * len(missing) + c * len(added), (1 - 2 * c) * len(y),
-                np.concatenate([missing, added]).view(np.int64),
-            ))
-        kinds = [*[pa.int64()] * 5, pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.int64())]
+            ids = [batch.column(k)[i].as_py() for k in range(3)]
+            size, both, either = len(missing) + len(added), len(y) - len(missing), len(y) + len(added)
+            linked = 100 * both >= least * either
+            outer = 100 * both < (2 * least - 100) * either
+            if not outer:
+                weight = (1 - c) * len(missing) + c * len(added) - 1e-9  # rounding only lengthens a prefix
+                beyond = max(0.0, weight - (1 - 2 * c) * len(y))
+                rows.append((*versions, BY_CENTRE, *ids, linked, not linked, size,
+                             weight - (1 - 2 * c) * len(y) / 2, size - int(weight), size - int(beyond), np.concatenate([missing, added]).view(np.int64)))
+            if not linked:
+                short = len(x) - -(-least * len(x) // 100) + 1
+                rows.append((*versions, WHOLE, *ids, False, outer, len(x), c * len(x) - 1e-9, short, short, x.view(np.int64)))
+        kinds = [*[pa.int64()] * 2, pa.int32(), *[pa.int64()] * 3, *[pa.bool_()] * 2, pa.int32(), pa.float64(),
+                 *[pa.int32()] * 2, pa.list_(pa.int64())]
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)] if rows
             else [pa.array([], k) for k in kinds],
@@ -224,28 +240,27 @@ def _across(apart: DataFrame) -> DataFrame:
     """Pairs `(a, b)` of members of one centre's buckets, in different components, that may
     be similar enough; a superset of those that are.
 
-    Members within the slack are linked to the centre, so only pairs with a member beyond
-    it matter. Such a pair shares more than the weight of either one's elements - of the
-    farther one, less the slack. Elements are put in order of rarity around the centre; a
-    pair that shares t of a member's n elements shares one of its n - t + 1 rarest.
+    Elements are put in order of rarity around the centre; a pair that shares t of a
+    member's n elements shares one of its n - t + 1 rarest. Elements that only one member
+    has come first and meet nothing, so they are only counted. The first element a pair
+    has in common leaves so many behind it; if they cannot add up to what the pair must
+    share, the sum of both shares, it is none.
     """
-    rows = apart.select("*", F.explode("elements").alias("element")).drop("elements")
-    common = rows.groupBy("hv", "element").agg(F.count("*").alias("holders"))
-    far = F.col("weight") > F.col("slack") + 1e-9
-    rank = F.row_number().over(W.partitionBy("hv", "doc", "v").orderBy("holders", "element"))
-    whole = lambda x: F.floor(x - 1e-9)  # noqa: E731  rounding errors only lengthen a prefix
-    ranked = rows.join(common, ["hv", "element"]).select(
-        "hv", "element", "doc", "label", "holders", far.alias("far"), rank.alias("rank"),
-        (F.col("size") - whole(F.col("weight"))).alias("short"),
-        (F.col("size") - F.greatest(whole(F.col("weight") - F.col("slack")), F.lit(0))).alias("long"),
-    ).where((F.col("holders") > 1) & (F.col("rank") <= F.when(F.col("far"), F.col("long")).otherwise(F.col("short"))))
-    ranked = durable(ranked.select(
-        "hv", "element", "doc", "label", "far", (F.col("rank") <= F.col("short")).alias("short")
-    ), "prefixes")
-    left = ranked.where("far")
-    right = ranked.where("short").select("hv", "element", *[F.col(c).alias(f"{c}2") for c in ("doc", "label", "far")])
-    return left.join(right, ["hv", "element"]).where(
-        "label <> label2 and (not far2 or (short and doc < doc2))"
+    around = ["hv", "mode", "element"]
+    rows = apart.select("hv", "mode", "doc", "v", "label", "asks", "size", "share", "short",
+                        "long", F.explode("elements").alias("element"))
+    common = durable(rows.groupBy(*around).agg(F.count("*").alias("holders")).where("holders > 1"), "common")
+    own = W.partitionBy("hv", "mode", "doc", "v")
+    rank = F.row_number().over(own.orderBy("holders", "element")) + F.col("size") - F.count("*").over(own)
+    ranked = durable(
+        rows.join(common, around).withColumn("rank", rank).where(
+            F.col("rank") <= F.when(F.col("asks"), F.col("long")).otherwise(F.col("short"))
+        ).select(*around, "doc", "label", "asks", "share", (F.col("size") - F.col("rank") + 1).alias("rest"), (F.col("rank") <= F.col("short")).alias("near")), "prefixes",
+    )
+    left = ranked.where("asks")
+    right = ranked.where("near").select(*around, *[F.col(c).alias(f"{c}2") for c in ("doc", "label", "asks", "share", "rest")])
+    return left.join(right, around).where(
+        "label <> label2 and (not asks2 or (near and doc < doc2)) and least(rest, rest2) >= share + share2 - 1e-6"
     ).select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
 
 
