@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ LEAST_COVERAGE = 0.75
 FILTER_BITS = 22
 BROADCAST_ROWS = 200_000
 BATCH = 128
-MOST_TOKENS = 1 << 19
+MOST_CHUNKS = 1 << 19
 
 # Units that follow a number, and numbers in words.
 UNITS = set("""mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg lb lbs oz pound pounds ton
@@ -36,7 +38,7 @@ NUMBER_WORDS = set("""one two three four five six seven eight nine ten eleven tw
 sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand
 million""".split())
 
-TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+|[.!?\n]|[%$€£°]")
+TOKEN = re.compile(r"[^\W\d_]+|[.!?\n%$€£°]|\d+(?:[.,:/]\d+)*")
 SMALL, CAPITAL, NUMBER, UNIT, STOP = range(5)
 CLASS = np.uint64(7)
 NAME_CODE, NUMBER_CODE, UNIT_CODE = (np.uint64(x) for x in SEEDS[-3:])
@@ -48,9 +50,17 @@ WINDOWS = "doc bigint, mode int, hash bigint, pos int, slots int, plain array<bi
 
 
 class _Codes(dict):
-    """Token to a hash of its lower-case form with its class in the lowest three bits."""
+    """What stands between two blanks to its tokens: hashes of their lower-case forms, with
+    their class in the lowest three bits."""
 
-    def __missing__(self, token: str) -> int:
+    def __missing__(self, chunk: str) -> tuple[int, ...]:
+        codes = tuple(map(self.code, TOKEN.findall(chunk)))
+        if len(self) < MOST_CHUNKS and len(chunk) < 64:
+            self[chunk] = codes
+        return codes
+
+    @staticmethod
+    def code(token: str) -> int:
         low = token.lower()
         if token in ".!?\n":
             kind = STOP
@@ -60,20 +70,19 @@ class _Codes(dict):
             kind = UNIT
         else:
             kind = CAPITAL if token[0].isupper() and not (len(token) > 1 and token.isupper()) else SMALL
-        h = 0xCBF29CE484222325
-        for b in low.encode("utf-8", "surrogatepass"):
-            h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-        code = int(mix(np.array([h], np.uint64))[0]) & ~7 | kind
-        if len(self) < MOST_TOKENS and len(token) < 64:
-            self[token] = code
-        return code
+        digest = blake2b(low.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+        return int.from_bytes(digest, "little") & ~7 | kind
+
+
+# A worker keeps its codes from task to task.
+_codes = _Codes()
 
 
-def canonical(text: str | None, codes: _Codes) -> tuple[np.ndarray, np.ndarray]:
+def canonical(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Plain and typed token codes of a text. A capitalised word inside a sentence is a
     name; a unit is one only next to a number."""
-    tokens = TOKEN.findall(text or "")
-    raw = np.fromiter(map(codes.__getitem__, tokens), np.uint64, len(tokens))
+    chunks = (text or "").replace("\n", " \n ").split(" ")
+    raw = np.fromiter(chain.from_iterable(map(_codes.__getitem__, chunks)), np.uint64)
     kind = raw & CLASS
     inside = np.zeros(len(raw), bool)
     inside[1:] = kind[:-1] != STOP
@@ -90,12 +99,21 @@ def canonical(text: str | None, codes: _Codes) -> tuple[np.ndarray, np.ndarray]:
     return plain[keep], typed[keep]
 
 
-def _windows(codes: np.ndarray, mode: int) -> np.ndarray:
+def _windows(codes: np.ndarray, mode: int, at: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the windows, or of those that begin at `at`."""
     n = len(codes) - WORDS + 1
-    h = np.full(max(n, 0), MODE_SEEDS[mode], np.uint64)
+    h = np.full(max(n, 0) if at is None else len(at), MODE_SEEDS[mode], np.uint64)
     for i in range(WORDS):
-        h = mix(h ^ codes[i:i + n] * PLACES[i]) if n > 0 else h
-    return h
+        if len(h):
+            h += (codes[i:i + n] if at is None else codes[at + i]) * PLACES[i]
+    return mix(h)
+
+
+def _wanted(h: np.ndarray, bits: np.ndarray | None) -> np.ndarray:
+    if bits is None:
+        return np.arange(len(h))
+    bit = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    return np.flatnonzero((bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
 
 
 def windows(texts: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
@@ -104,29 +122,25 @@ def windows(texts: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(bits)  # 2^FILTER_BITS bits whatever the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, bits = _Codes(), shared.value
+        bits = shared.value
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(at, BATCH)
                 out = []
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    plain, typed = canonical(text, codes)
+                    plain, typed = canonical(text)
+                    h = _windows(plain, PLAIN)
+                    for p in _wanted(h, bits).tolist():
+                        out.append((doc, PLAIN, int(h[p].view(np.int64)), p, 0, plain[p:p + WORDS].view(np.int64)))
                     slot = plain != typed
-                    for mode, own in ((PLAIN, plain), (TYPED, typed)):
-                        h = _windows(own, mode)
-                        if not len(h):
-                            continue
+                    if len(h) and slot.any():
                         places = np.lib.stride_tricks.sliding_window_view(slot, WORDS)
-                        ok = np.ones(len(h), bool)
-                        if mode == TYPED:
-                            n = places.sum(axis=1)
-                            ok = (n > 0) & (WORDS - n >= LEAST_LITERALS)
-                        if bits is not None:
-                            bit = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-                            ok &= (bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-                        for p in np.flatnonzero(ok).tolist():
-                            mask = int(places[p] @ (1 << np.arange(WORDS))) if mode == TYPED else 0
-                            out.append((doc, mode, int(h[p].view(np.int64)), p, mask,
+                        n = places.sum(axis=1)
+                        at_slots = np.flatnonzero((n > 0) & (WORDS - n >= LEAST_LITERALS))
+                        h = _windows(typed, TYPED, at_slots)
+                        for i in _wanted(h, bits).tolist():
+                            p = int(at_slots[i])
+                            out.append((doc, TYPED, int(h[i].view(np.int64)), p, int(places[p] @ (1 << np.arange(WORDS))),
                                         plain[p:p + WORDS].view(np.int64)))
                 if out:
                     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
