@@ -70,20 +70,22 @@ def pca2(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def rbf_holdout(spark: SparkSession, folder: str) -> DataFrame:
     """One kernel machine on an 80/20 split: accuracy and weighted F1."""
-    return holdout_run(
+    scores, _ = holdout_run(
         vectors(spark, folder), "vec_id", "sum_cat", ("x_embedding",), "kernel",
     )
+    return scores
 
 
 @query()
 def forest_holdout(spark: SparkSession, folder: str) -> DataFrame:
-    return holdout_run(
+    scores, _ = holdout_run(
         vectors(spark, folder), "vec_id", "length_cat", ("x_posterior",), "forest",
     )
+    return scores
 
 
 @query()
 def cv_scores(spark: SparkSession, folder: str) -> DataFrame:
     """The grid of all feature sets, with one target."""
-    scores, _ = experiment(vectors(spark, folder), "vec_id", {"length": "length_cat"})
+    scores, _, _ = experiment(vectors(spark, folder), "vec_id", {"length": "length_cat"})
     return scores

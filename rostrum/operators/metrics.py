@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from rostrum.functions.numeric import finite, order_slot
+from rostrum.operators.order_stats import equal_part, same_key
+from rostrum.session import durable
 from rostrum.vocab import LEVELS
 
 
@@ -108,8 +110,8 @@ def class_auc(
 
     `scored` has `y` and one score column per label, named as the label. Rows are
     first counted per distinct score (ties count half), the scores of a run are
-    cut into order slots, and the slots are chained by their counts: a run of any
-    size is ranked over many tasks. NULL where a class has no or only positives.
+    cut into order slots and these into equal parts, and parts and slots are chained
+    by their counts: a run of any size is ranked over many tasks. NULL where a class has no or only positives.
     """
     keys = [*run, "class"]
     long = scored.select(*run, "y", F.inline(F.array(*[
@@ -117,23 +119,26 @@ def class_auc(
         for c in labels
     ])))
     is_class = F.col("y") == F.col("class")
-    scores = long.groupBy(*keys, order_slot("score").alias("slot"), "score").agg(
+    scores = durable(long.groupBy(*keys, order_slot("score").alias("slot"), "score").agg(
         F.count(F.when(is_class, 1)).alias("pos"),
         F.count(F.when(~is_class, 1)).alias("neg"),
-    )
-    lower = W.partitionBy(*keys, "slot").orderBy("score").rowsBetween(W.unboundedPreceding, -1)
-    slots = scores.withColumn("below", F.coalesce(F.sum("neg").over(lower), F.lit(0))).groupBy(
-        *keys, "slot"
-    ).agg(
-        F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("area"),
-        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"),
-    )
-    before = W.partitionBy(*keys).orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
-    return slots.withColumn("below", F.coalesce(F.sum("neg").over(before), F.lit(0))).groupBy(
-        *keys
-    ).agg(F.try_divide(
-        F.sum(F.col("area") + F.col("pos") * F.col("below")),
-        F.sum("pos").cast("double") * F.sum("neg"),
+    ), "scores")
+    # A slot's scores are cut again between its own ends, however close those are.
+    ends = scores.groupBy(*keys, "slot").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+    cut = scores.join(
+        ends.select(*[F.col(k).alias(f"_{k}") for k in [*keys, "slot"]], "lo", "hi"),
+        [same_key(k) for k in [*keys, "slot"]],
+    ).select(*keys, "slot", equal_part("score", "lo", "hi").alias("part"), "score", "pos", "neg",
+             (F.col("pos") * F.col("neg") / 2).alias("area"))
+    for order in ("score", "part", "slot"):
+        inner = [*keys, *[k for k in ("slot", "part") if order == "score" or (k, order) == ("slot", "part")]]
+        before = W.partitionBy(*inner).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+        cut = cut.withColumn("below", F.coalesce(F.sum("neg").over(before), F.lit(0))).groupBy(*inner).agg(
+            F.sum(F.col("area") + F.col("pos") * F.col("below")).alias("area"),
+            F.sum("pos").alias("pos"), F.sum("neg").alias("neg"),
+        )
+    return cut.select(*keys, F.try_divide(
+        F.col("area"), F.col("pos").cast("double") * F.col("neg")
     ).alias("auc"))
 
 

@@ -48,6 +48,13 @@ def standardise(
     return scaled, int(np.count_nonzero(model.std.toArray()))
 
 
+def scale_width(train: DataFrame, vector: str = "x") -> float:
+    """1 / (positions * variance over all entries) of an array column, in one aggregate."""
+    entries = train.select(F.size(vector).alias("d"), F.explode(vector).alias("v"))
+    row = entries.agg(F.max("d").alias("d"), F.var_pop("v").alias("v")).first()
+    return 1.0 / (row["d"] * row["v"]) if row["d"] and row["v"] else 1.0
+
+
 def label_index(labels: Sequence[str]) -> Column:
     return (F.array_position(F.array(*[F.lit(c) for c in labels]), F.col("y")) - 1).cast("double")
 
@@ -102,16 +109,16 @@ def kernel_map(
 
 
 def kernel_svc(
-    train: DataFrame, test: DataFrame, labels: Sequence[str], varying: int,
+    train: DataFrame, test: DataFrame, labels: Sequence[str], width: float,
     c: float = SVC_C, landmarks: int = LANDMARKS, iterations: int = 50, seed: int = SEED,
 ) -> DataFrame:
-    """Support vectors with an RBF kernel of width 1/(varying positions).
+    """Support vectors with an RBF kernel exp(-width |x - y|^2).
 
     Spark has no kernel machine: the kernel is mapped to explicit features, then
     one linear machine per class is fitted, and a logistic model turns their
     margins into probabilities.
     """
-    mapped = kernel_map(train, 1.0 / max(varying, 1), landmarks, seed)
+    mapped = kernel_map(train, width, landmarks, seed)
     fit_on = train.select(
         "key", "y", label_index(labels).alias("label"), mapped("x").alias("k")
     ).persist()

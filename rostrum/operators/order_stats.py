@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from rostrum.functions.numeric import finite, order_slot
+from rostrum.functions.numeric import col, finite, order_slot
 from rostrum.session import durable
 
 PARTS = 4096
@@ -77,8 +77,8 @@ def describe(
     found = [_known(cells, keys)]
     lookups = _unknown(cells, cell_keys)
     # Rows of the cells that hold a rank, cut again between the cell's own ends.
-    inside = durable(rows.join(lookups, [_same(k) for k in cell_keys]).select(
-        *cell_keys, "v", "wanted", _part("v", "lo", "hi").alias("part")
+    inside = durable(rows.join(lookups, [same_key(k) for k in cell_keys]).select(
+        *cell_keys, "v", "wanted", equal_part("v", "lo", "hi").alias("part")
     ), "ranked")
     parts = inside.groupBy(*cell_keys, "part").agg(
         F.count("*").alias("cn"), F.min("v").alias("lo"), F.max("v").alias("hi"),
@@ -88,7 +88,7 @@ def describe(
     found.append(_known(parts, keys))
     # What is still between two values is sorted: a few of a cell's values each.
     part_keys = [*cell_keys, "part"]
-    last = inside.drop("wanted").join(_unknown(parts, part_keys), [_same(k) for k in part_keys]).groupBy(
+    last = inside.drop("wanted").join(_unknown(parts, part_keys), [same_key(k) for k in part_keys]).groupBy(
         *part_keys, "v"
     ).agg(F.count("*").alias("cn"), F.first("wanted").alias("wanted")).withColumn(
         "before", _below("cn", part_keys, "v")
@@ -117,9 +117,11 @@ def _below(count: str, keys: Sequence[str], order: str) -> Column:
     return F.coalesce(F.sum(count).over(before), F.lit(0))
 
 
-def _part(v: str, lo: str, hi: str) -> Column:
+def equal_part(v: Column | str, lo: Column | str, hi: Column | str) -> Column:
     """Which of PARTS equal parts of [lo, hi] a value lies in; never falls as v grows."""
-    share = F.try_divide(F.col(v) / 2 - F.col(lo) / 2, F.col(hi) / 2 - F.col(lo) / 2)
+    v, lo, hi = col(v), col(lo), col(hi)
+    # Halves first: the width of a cell may be over the largest double.
+    share = F.try_divide(v / 2 - lo / 2, hi / 2 - lo / 2)
     return F.least(F.floor(F.coalesce(share, F.lit(0.0)) * PARTS), F.lit(PARTS - 1)).cast("int")
 
 
@@ -147,6 +149,6 @@ def _unknown(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     ).where(F.size("wanted") > 0)
 
 
-def _same(k: str) -> Column:
+def same_key(k: str) -> Column:
     # Null-safe, so that a NULL group counts as a group.
     return F.col(k).eqNullSafe(F.col(f"_{k}"))

@@ -7,10 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from rostrum.functions.numeric import col
+from rostrum.session import durable
 from rostrum.vocab import FOLDS, SEED
 
-SLICES = 1 << 16
-
 
 def hash_number(key: Column | str, seed: int = SEED, digits: int = 8) -> Column:
     """The first hex digits of an MD5 of key and seed, as a whole number."""
@@ -19,36 +18,32 @@ def hash_number(key: Column | str, seed: int = SEED, digits: int = 8) -> Column:
 
 
 def with_position(
-    df: DataFrame, order: str, ties: Sequence[str] = (), name: str = "position",
-    slices: int = SLICES,
+    df: DataFrame, order: str, ties: Sequence[str] = (), name: str = "position"
 ) -> DataFrame:
-    """Add the 0-based rank by whole-number column `order` (then `ties`).
+    """Add the 0-based rank by column `order` (then `ties`).
 
-    The value range is cut into equal slices; each is ranked on its own and moved
-    up by the rows in the slices before it. Only that table of slice counts, of at
-    most `slices` rows whatever the data, is ordered in one task and broadcast.
+    Rows are dealt out by range of (order, ties) from a sample, so neither an outlier nor
+    a frequent value gathers them in one task; each range is ranked on its own and moved
+    up by the rows in the ranges before it. The ranges are written once, since a range
+    must not change between counting and ranking. Only their counts, one row per task,
+    are ordered in one task and broadcast.
     """
-    span = df.agg(F.struct(
-        F.min(order).alias("low"), F.max(order).alias("high")
-    ).alias("span")).scalar()
-    low, high = F.col("_span.low"), F.col("_span.high")
-    width = F.floor((high - low) / F.lit(slices)) + 1
-    # As a column of its own the span is one subquery for all its uses.
-    cut = df.withColumn("_span", span).withColumn(
-        "_slice", F.floor((F.col(order) - low) / width)
-    ).drop("_span")
-    counts = cut.groupBy("_slice").agg(F.count("*").alias("_n"))
+    ranged = df.repartitionByRange(col(order), *[F.col(t) for t in ties]).withColumn(
+        "_range", F.spark_partition_id()
+    )
+    ranged = durable(ranged, "ranges")
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     offsets = counts.select(
-        "_slice",
+        "_range",
         F.coalesce(F.sum("_n").over(
-            W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+            W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
         ), F.lit(0)).alias("_before"),
     )
-    within = W.partitionBy("_slice").orderBy(order, *ties)
+    within = W.partitionBy("_range").orderBy(order, *ties)
     return (
-        cut.join(F.broadcast(offsets), "_slice")
+        ranged.join(F.broadcast(offsets), "_range")
         .withColumn(name, F.col("_before") + F.row_number().over(within) - 1)
-        .drop("_slice", "_before")
+        .drop("_range", "_before")
     )
 
 

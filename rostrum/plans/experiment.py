@@ -7,12 +7,13 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark import inheritable_thread_target
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
 from rostrum.functions.vectors import concat
 from rostrum.operators import models
-from rostrum.operators.metrics import run_scores, score_table
-from rostrum.operators.positions import hash_folds, holdout
+from rostrum.operators.metrics import confusion, run_scores, score_table
+from rostrum.operators.positions import balanced_folds, hash_folds, holdout
 from rostrum.session import durable
 from rostrum.vocab import FOLDS, LEVELS
 
@@ -33,12 +34,19 @@ BASELINE_SET = "Baseline"
 
 
 def predict(
-    train: DataFrame, test: DataFrame, kind: str, labels: Sequence[str], **options
+    train: DataFrame, test: DataFrame, kind: str, labels: Sequence[str], scale: bool = True,
+    **options
 ) -> DataFrame:
-    """Scale by the training rows, fit, and predict the test rows. Tables: key, y, x."""
-    (train, test), varying = models.standardise(train, [test])
+    """Fit, and predict the test rows. Tables: key, y, x. Vectors are scaled by the training
+    rows, or stay as they are; the kernel's width then follows their variance."""
+    if scale:
+        (train, test), varying = models.standardise(train, [test])
+        width = 1.0 / max(varying, 1)
+    else:
+        width = models.scale_width(train) if kind == "kernel" else None
+        train, test = (t.withColumn("x", array_to_vector("x")) for t in (train, test))
     if kind == "kernel":
-        return models.kernel_svc(train, test, labels, varying, **options)
+        return models.kernel_svc(train, test, labels, width, **options)
     return models.forest(train, test, labels, **options)
 
 
@@ -72,16 +80,19 @@ def cross_validate(
     table: DataFrame, key: str, targets: Mapping[str, str],
     feature_sets: Mapping[str, Sequence[str]] = FEATURE_SETS, labels: Sequence[str] = LEVELS,
     folds: int = FOLDS, threads: int = 4, options: Mapping[str, Mapping] | None = None,
+    balanced: bool = False,
 ) -> tuple[DataFrame, list[tuple[str, str, str]]]:
     """Predictions of every (target, feature set), and the runs that failed.
 
     `targets` maps a target's name to its level column. The table with its folds is
     written once and read by every fit; each run's predictions are written as
     well, and a failed run leaves the others alone. Threads only hand jobs to
-    Spark, so the fits of different runs fill the cluster together.
+    Spark, so the fits of different runs fill the cluster together. `balanced` folds
+    differ by one row at most.
     """
     needed = sorted({v for vs in feature_sets.values() for v in vs})
-    table = durable(hash_folds(
+    deal = balanced_folds if balanced else hash_folds
+    table = durable(deal(
         table.select(F.col(key).alias("key"), *[f"`{c}`" for c in targets.values()], *needed),
         "key", folds,
     ))
@@ -113,31 +124,37 @@ def cross_validate(
 
 def experiment(
     table: DataFrame, key: str, targets: Mapping[str, str], strict: bool = False, **options
-) -> tuple[DataFrame, DataFrame]:
-    """Long score table of the whole grid, and `(target, type, error)` of failed runs."""
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Long score table of the whole grid, the first fold's confusion tables, and
+    `(target, type, error)` of failed runs."""
     predictions, failed = cross_validate(table, key, targets, **options)
     labels = options.get("labels", LEVELS)
     scores = score_table(predictions, ["target", "type"], "fold", labels, strict=strict)
     errors = table.sparkSession.createDataFrame(
         failed, "target string, type string, error string"
     )
-    return scores, errors
+    first = confusion(predictions.where(F.col("fold") == 0), ["target", "type"], labels)
+    return scores, first, errors
 
 
 def holdout_predictions(
     table: DataFrame, key: str, target: str, vectors: Sequence[str], kind: str,
     labels: Sequence[str] = LEVELS, **options,
 ) -> DataFrame:
-    """Fit once on an 80 % split and predict the rest: `(target, key, y, p, scores)`."""
+    """Fit once on an 80 % split of the unscaled vectors and predict the rest:
+    `(target, key, y, p, scores)`."""
     rows = durable(holdout(
         table.where(F.col(target).isNotNull()).select(
             F.col(key).alias("key"), F.col(target).alias("y"), concat(*vectors).alias("x")
         ), "key",
     ))
     train, test = rows.where(~F.col("is_test")), rows.where("is_test")
-    return predict(train, test, kind, labels, **options).withColumn("target", F.lit(target))
+    return predict(train, test, kind, labels, scale=False, **options).withColumn(
+        "target", F.lit(target)
+    )
 
 
-def holdout_run(*args, **options) -> DataFrame:
-    """Accuracy and F1 of `holdout_predictions`, one row."""
-    return run_scores(holdout_predictions(*args, **options), ["target"])
+def holdout_run(*args, **options) -> tuple[DataFrame, DataFrame]:
+    """Accuracy and F1 of `holdout_predictions`, one row, and its confusion table."""
+    predictions = durable(holdout_predictions(*args, **options))
+    return run_scores(predictions, ["target"]), confusion(predictions, ["target"])

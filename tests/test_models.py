@@ -50,7 +50,7 @@ def test_grid_beats_the_baseline_and_survives_a_failure(spark, planted):
             "Gender": ("nothing",), "Baseline": ("x_embedding",)}
     table = planted.withColumn("nothing", F.array(F.lit(None).cast("double")))
     options = {"kernel": {"landmarks": 60, "iterations": 20}, "forest": {"trees": 10, "depth": 6}}
-    scores, errors = experiment(
+    scores, _, errors = experiment(
         table, "id", {"views": "y_cat"}, feature_sets=sets, folds=2, options=options)
     assert [(r["target"], r["type"]) for r in errors.collect()] == [("views", "Gender")]
     value = {(r["type"], r["metric"]): r["value"] for r in scores.collect()}
@@ -84,8 +84,26 @@ def test_baseline_follows_the_priors_of_the_other_folds(spark):
 
 
 def test_holdout_run(spark, planted):
-    out = holdout_run(planted, "id", "y_cat", ("x_embedding",), "forest", trees=10, depth=6).first()
+    scores, table = holdout_run(planted, "id", "y_cat", ("x_embedding",), "forest", trees=10, depth=6)
+    out = scores.first()
     assert out["target"] == "y_cat" and 0.5 < out["accuracy"] <= 1
+    cells = table.collect()
+    assert len(cells) == 9
+    hits = sum(r["n"] for r in cells if r["y"] == r["p"])
+    assert hits / sum(r["n"] for r in cells) == pytest.approx(out["accuracy"])
+
+
+def test_unscaled_kernel_width(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 5, (50, 4))
+    df = spark.createDataFrame([(r.tolist(),) for r in x], "x array<double>")
+    assert models.scale_width(df) == pytest.approx(1 / (4 * x.var()))
+
+
+def test_balanced_grid_folds(spark, planted):
+    out, _ = cross_validate(planted, "id", {"t": "y_cat"}, {"Baseline": ("x_embedding",)}, folds=7, balanced=True)
+    sizes = [r["count"] for r in out.groupBy("fold").count().collect()]
+    assert max(sizes) - min(sizes) <= 1
 
 
 def test_principal_components(spark):

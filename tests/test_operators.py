@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from rostrum.operators import positions as P
 from rostrum.operators import summaries as S
 from rostrum.operators.correlate import corr_long, corr_matrix, corr_rank, corr_table
-from rostrum.operators.order_stats import describe
+from rostrum.operators.order_stats import describe, equal_part
 from rostrum.operators.vector_stats import weighted_vector_stats
 from rostrum.operators.zscore import zscore
 
@@ -128,10 +128,35 @@ def test_corr_table_and_rank(spark):
 def test_positions_follow_the_order(spark):
     rng = np.random.default_rng(4)
     keys = np.unique(np.concatenate([rng.integers(0, 50, 40), rng.integers(0, 10 ** 12, 300)]))
-    df = spark.createDataFrame([(int(k),) for k in keys], "k bigint").repartition(7)
-    for slices in (1, 5, 1 << 16):
-        out = P.with_position(df, "k", slices=slices).orderBy("k").collect()
-        assert [r["position"] for r in out] == list(range(len(keys)))
+    keys = [-(2 ** 63), *keys.tolist(), 2 ** 60, 2 ** 63 - 1]  # far out, and wider than a bigint
+    df = spark.createDataFrame([(k,) for k in keys], "k bigint").repartition(7)
+    out = P.with_position(df, "k").orderBy("k").collect()
+    assert [r["position"] for r in out] == list(range(len(keys)))
+
+
+def test_an_outlier_or_a_tie_does_not_gather_the_rows(spark):
+    df = spark.range(20_000).select(
+        F.when(F.col("id") == 0, 1 << 60).when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), "id"
+    )
+    out = P.with_position(df, "k", ["id"])
+    rows = out.orderBy("k", "id").collect()
+    assert [r["position"] for r in rows] == list(range(20_000))
+    sizes = [r["count"] for r in df.repartitionByRange(8, "k", "id").groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 12_000
+
+
+def test_describe_of_close_values(spark):
+    rng = np.random.default_rng(6)
+    v = rng.uniform(0.995, 1.0, 50_000)
+    df = spark.createDataFrame([(float(x),) for x in v], "x double").withColumn("k", F.lit("hot"))
+    lo, hi = float(v.min()), float(v.max())
+    parts = df.groupBy(equal_part(F.col("x"), F.lit(lo), F.lit(hi)).alias("p")).count()
+    assert parts.agg(F.max("count")).first()[0] < 100
+    out = describe(df, ["k"], "x", (0.1, 0.5, 0.9)).first()
+    assert out["n"] == len(v) and out["mean"] == pytest.approx(v.mean(), rel=1e-12)
+    assert out["std"] == pytest.approx(v.std(), rel=1e-9)
+    for q in (10, 50, 90):
+        assert out[f"p{q}"] == pytest.approx(np.percentile(v, q), rel=1e-14)
 
 
 def test_appearance_codes(spark):

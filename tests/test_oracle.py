@@ -22,14 +22,14 @@ def con():
 
 def check_plan(name, text):
     """No Python on the main paths, no cross joins, no window over a whole table but
-    the one over slice counts."""
+    the one over range counts."""
     if name not in ARROW | FITS:
         assert not re.search("Python|MapInPandas|ArrowEval", text)
     if name not in FITS:
         assert "CartesianProduct" not in text and "NestedLoopJoin" not in text
         for line in text.splitlines():
             if "Window [" in line and re.search(r"windowspecdefinition\(\w+#\d+L? (ASC|DESC)", line):
-                assert "_slice#" in line and "_n#" in line
+                assert "_range#" in line and "_n#" in line
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

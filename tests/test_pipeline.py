@@ -135,10 +135,11 @@ def test_files_to_scores(spark, world, tmp_path):
     assert model_table(stored, text, levels, csv_parity=True).count() == N - 6 - 10
 
     sets = {k: FEATURE_SETS[k] for k in ("Audio-Text", "Posteriors+gender", "Baseline")}
-    scores, errors = experiment(
+    scores, first, errors = experiment(
         model, "url", {"views": "log_views_norm_cat"}, feature_sets=sets, folds=2,
         options={"kernel": {"landmarks": 20, "iterations": 5}, "forest": {"trees": 3, "depth": 3}})
     assert errors.collect() == []
+    assert first.groupBy("type").count().count() == 3
     tables.write_table(scores, str(tmp_path / "scores"))
     tables.export_csv(scores, str(tmp_path / "scores.csv"))
     stored_scores = tables.read_scores(spark, str(tmp_path / "scores"))
