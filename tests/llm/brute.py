@@ -41,3 +41,31 @@ def near_duplicates(rows, least=75):
                 lo, hi = sorted((root(i), root(j)))
                 parent[hi] = lo
     return {i: root(i) for i in parent}
+
+
+def line_key(line):
+    low = line.strip(" \t\n\x0b\x0c\r")
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in low)
+
+
+def contaminated(docs, items, least=0.75):
+    """Documents that hold the share of an item's five-word windows, in any case."""
+    import re
+
+    def windows(text):
+        w = re.findall(r"[^\W\d_]+|\d+", text.lower())
+        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+
+    parts = [(i, windows(t)) for i, t in items]
+    out = set()
+    for i, t in docs:
+        own = windows(t)
+        if any(w and len(w & own) >= least * len(w) for _, w in parts):
+            out.add(i)
+    return out
+
+
+def crc(key):
+    import zlib
+
+    return zlib.crc32(str(key).encode())
