@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from rostrum.bindings.registry import query, rounded, table
 from rostrum.operators import positions
 from rostrum.operators.summaries import bottom_rows, cohorts, top_rows
-from rostrum.plans.analysis import cohort_correlations as cohort_rank
+from rostrum.plans.analysis import cohort_correlations as cohort_rank, cohort_histograms as ends
 
 SQL_PRICED = ("(select o_orderkey, case when o_orderstatus <> 'P' then o_totalprice end as price "
               "from orders)")
@@ -57,6 +57,23 @@ def cohort_correlations(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("""
+with ranked as (
+  (select 'most' as rank, * from part order by p_retailprice desc, p_partkey limit 100) union all
+  (select 'least' as rank, * from part order by p_retailprice, p_partkey desc limit 100)
+), span as (select min(p_size) as lo, max(p_size) as hi from ranked), placed as (
+  select rank, least(floor((p_size - lo) / (hi - lo)::double * 10), 9)::bigint as bin, lo, hi
+  from ranked, span
+)
+select rank, bin, 'p_size' as feature, round(any_value(lo + (hi - lo) * bin / 10.0::double), 6) as bin_start,
+       round(any_value(lo + (hi - lo) * (bin + 1) / 10.0::double), 6) as bin_end, count(*) as n
+from placed group by rank, bin""")
+def cohort_histograms(spark: SparkSession, folder: str) -> DataFrame:
+    return ends(table(spark, folder, "part"), "p_retailprice", "p_partkey", ["p_size"], 10).withColumns({
+        c: rounded(c) for c in ("bin_start", "bin_end")
+    })
+
+
 SQL_HASH = "('0x' || substr(md5(doc_id::varchar || '|42'), 1, 8))::bigint"
 
 

@@ -151,6 +151,36 @@ def result_documents(spark: SparkSession, folder: str) -> DataFrame:
     ).select("key.*", "n", "good", "posterior", "first_value")
 
 
+@query("""
+with given as (
+  select o_orderkey as talk, o_orderkey % 4 as kind, count(l_orderkey) as lines,
+         round(sum(l_quantity), 4) as spoken, o_orderkey % 4 = 1 and count(l_orderkey) > 0 as bare
+  from orders left join lineitem on l_orderkey = o_orderkey group by 1
+)
+select talk, case kind when 2 then 1 else lines end as n, case when kind <> 2 then spoken end as spoken,
+       kind = 2 as broken, coalesce(bare, false) as bare
+from given where kind = 2 or lines > 0""")
+def result_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of orders: several predictions each, a second key that is no list, lists
+    without predictions, and documents that hold no list at all."""
+    lines = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("k"), F.struct(
+        F.col("l_linenumber").alias("id"), F.col("l_quantity").alias("startTime"), F.lit("x").alias("task"),
+        F.when(F.col("l_orderkey") % 4 != 1, F.array(F.struct(
+            F.col("l_linestatus").alias("label"), F.col("l_discount").alias("posterior")
+        ))).alias("prediction"),
+    ).alias("line")).groupBy("k").agg(F.collect_list("line").alias("lines"))
+    listed = F.to_json(F.struct(F.coalesce("lines", F.array()).alias("result"), F.lit("1.2").alias("version")))
+    documents = table(spark, folder, "orders").join(lines, F.col("o_orderkey") == F.col("k"), "left").select(
+        F.col("o_orderkey").alias("talk"),
+        F.when(F.col("o_orderkey") % 4 == 2, '{"result": "none"}').otherwise(listed).alias("document"),
+    )
+    return explode_predictions(documents, "talk", "document").groupBy("talk").agg(
+        F.count("*").alias("n"), rounded(F.sum("st"), 4).alias("spoken"),
+        F.max(F.col("pos").isNull()).alias("broken"),
+        F.max(F.col("pos").isNotNull() & F.col("prediction").isNull()).alias("bare"),
+    )
+
+
 EVENT_TASKS = {t: ("low", "high") for t in ("click", "view", "purchase")}
 
 

@@ -102,6 +102,18 @@ def confusion(spark: SparkSession, folder: str) -> DataFrame:
     return M.confusion(first, ["fold"]).drop("fold")
 
 
+@query(f"""{SQL_GUESSES}
+select r.target, r.type, y.class as y, p.class as p, count(key) as n
+from (select distinct target, type from guesses where fold = 0) r
+cross join labels y cross join labels p
+left join guesses g on g.target = r.target and g.type = r.type and g.y = y.class and g.p = p.class
+  and fold = 0
+group by all""")
+def confusion_by_run(spark: SparkSession, folder: str) -> DataFrame:
+    """The first fold's table of every target and type."""
+    return M.confusion(guesses(spark, folder).where(F.col("fold") == 0), ["target", "type"])
+
+
 @query(f"""{SQL_CLASSES}
 select target, type, fold, class, round(precision, 6) as precision, round(recall, 6) as recall,
        round(f1, 6) as f1, support, seen

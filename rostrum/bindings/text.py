@@ -8,6 +8,8 @@ from rostrum.bindings.registry import query, table
 from rostrum.functions import text as X
 from rostrum.operators.positions import add_appearance_code, appearance_codes
 from rostrum.operators.summaries import join_on_text, unmatched
+from rostrum.plans.analysis import transcript_inputs as inputs
+from rostrum.sources.tables import csv_value
 
 # What Java's Unicode blank class and the four separators hold, for RE2.
 SQL_BLANKS = (
@@ -31,6 +33,47 @@ def clean_text(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(rf"""
+with cleaned as (
+  select doc_id, regexp_replace(text, '\(.*?\)', '', 'g') as text from documents
+)
+select doc_id, md5(array_to_string({SQL_WORDS}[1:300], ' ')) as digest from cleaned where text <> ''""")
+def transcript_inputs(spark: SparkSession, folder: str) -> DataFrame:
+    texts = inputs(table(spark, folder, "documents"), "doc_id", "text", 300)
+    return texts.select("doc_id", F.md5("text").alias("digest"))
+
+
+@query("""
+with fields as (
+  select l_orderkey, l_linenumber, case l_linenumber % 4 when 0 then l_quantity::varchar
+           when 1 then l_discount::varchar when 2 then 'NA' else l_orderkey::varchar end as field
+  from lineitem
+), read as (
+  select l_orderkey, l_linenumber, case when field <> 'NA' and field::double = floor(field::double)
+         then field::double::bigint end as whole, try_cast(nullif(field, 'NA') as double) as real
+  from fields
+)
+select l_orderkey, l_linenumber, count(whole) as wholes, coalesce(sum(whole), 0)::bigint as whole,
+       round(coalesce(sum(real), 0), 6) as real
+from read group by 1, 2""")
+def csv_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    """Fields of CSV text as whole and as real numbers: `17.0`, `0.05`, a missing word, a key."""
+    kind = F.col("l_linenumber") % 4
+    field = (
+        F.when(kind == 0, F.col("l_quantity").cast("string"))
+        .when(kind == 1, F.col("l_discount").cast("string"))
+        .when(kind == 2, "NA").otherwise(F.col("l_orderkey").cast("string"))
+    )
+    rows = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", field.alias("field"))
+    return rows.select(
+        "l_orderkey", "l_linenumber", csv_value(F.col("field"), "bigint").alias("w"),
+        csv_value(F.col("field"), "double").alias("r"),
+    ).groupBy("l_orderkey", "l_linenumber").agg(
+        F.count("w").alias("wholes"), F.coalesce(F.sum("w"), F.lit(0)).alias("whole"),
+        F.round(F.coalesce(F.sum("r"), F.lit(0.0)), 6).alias("real"),
+    )
+
+
 @query(f"select doc_id, len({SQL_WORDS})::int as words from documents")
 def word_count(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", X.word_count("text").alias("words"))

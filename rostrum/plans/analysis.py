@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from rostrum.functions import ratings as R
 from rostrum.functions.numeric import ordinal_map, ratio, relabel
-from rostrum.functions.text import fill_text, word_count
+from rostrum.functions.vectors import concat
+from rostrum.functions.text import clean_transcript, fill_text, truncate_tokens, word_count
 from rostrum.operators.correlate import corr_matrix, corr_rank, corr_table
 from rostrum.operators.positions import add_appearance_code
-from rostrum.operators.summaries import cohorts
+from rostrum.operators.models import principal_components
+from rostrum.operators.summaries import cohorts, histogram, top_contains, value_counts
 from rostrum.vocab import (
-    AGE_BANDS, COHORT_SIZE, CORRELATION_THRESHOLD, MODEL_COLUMNS, POPULARITY_TARGETS, RATINGS,
+    AGE_BANDS, COHORT_SIZE, CORRELATION_THRESHOLD, MAX_TOKENS, MODEL_COLUMNS, POPULARITY_TARGETS, RATINGS,
     SURVEY_COLUMNS,
 )
 
@@ -76,3 +79,53 @@ def score_report(
         (inside if popularity else ~inside)
         & (F.col("metric") == metric) & F.col("type").isin(*types)
     ).orderBy("value", "target", "type")
+
+
+def transcript_inputs(
+    talks: DataFrame, key: str = "url", transcript: str = "transcript", limit: int = MAX_TOKENS
+) -> DataFrame:
+    """`(key, text)` for the embedding of transcripts: cleaned, those left empty skipped,
+    cut to `limit` words."""
+    cleaned = talks.select(key, clean_transcript(transcript).alias("clean"))
+    # NULL fails the test as well.
+    return cleaned.where(F.col("clean") != "").select(key, truncate_tokens("clean", limit).alias("text"))
+
+
+def target_histograms(targets: DataFrame, columns: Sequence[str], bins: int = 50) -> DataFrame:
+    """Histograms of several columns, one below the other, under `target`."""
+    parts = [histogram(targets, c, bins).withColumn("target", F.lit(c)) for c in columns]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def level_counts(targets: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows per level of several level columns, in one pass."""
+    long = targets.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("target"), F.col(f"`{c}`").alias("level")) for c in columns
+    ])))
+    return value_counts(long, "target", "level")
+
+
+def rating_tops(talks: DataFrame, names: Sequence[str] = RATINGS, ratings: str = "ratings", k: int = 5
+                ) -> DataFrame:
+    """For each rating, the talks with it among their k largest and those without."""
+    parts = [top_contains(talks, ratings, n, k).withColumn("rating", F.lit(n)) for n in names]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def cohort_histograms(
+    features: DataFrame, metric: str, key: str, columns: Sequence[str], bins: int = 50,
+    n: int = COHORT_SIZE,
+) -> DataFrame:
+    """Histograms of features in the top and bottom talks, over the bins of both."""
+    ends = cohorts(features.select(key, metric, *columns), metric, key, n)
+    parts = [histogram(ends, c, bins, ["rank"]).withColumn("feature", F.lit(c)) for c in columns]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def cohort_projection(
+    features: DataFrame, metric: str, key: str, vectors: Sequence[str], k: int = 2, n: int = COHORT_SIZE
+) -> DataFrame:
+    """`(key, rank, pc1..pck)`: the vectors of the top and bottom talks, joined end to end,
+    scaled and projected."""
+    ends = cohorts(features.select(key, metric, *vectors), metric, key, n)
+    return principal_components(ends.select(key, "rank", concat(*vectors).alias("x")), "x", k)
