@@ -18,7 +18,8 @@ HEADLINES = (
     "posterior_stats", "pause_stats", "turn_stats", "weighted_vector_stats", "talk_features",
     "clean_text", "word_count", "url_join", "speaker_code", "corr_matrix", "histogram",
     "value_counts", "top_bottom_union", "balanced_folds", "auc_ovr", "score_long", "baseline",
-    "scaled", "forest_holdout", "rbf_holdout",
+    "scaled", "forest_holdout", "rbf_holdout", "pca2", "survey_pairs",
+    "speaker_code_rows", "signed_vector_stats",
 )
 
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rostrum.bindings.registry import query, rounded, table
+from rostrum.bindings.registry import query, rounded, sql_level, sql_z, table
 from rostrum.functions.numeric import band
 from rostrum.operators.models import principal_components, standardise
 from rostrum.operators.positions import hash_folds
 from rostrum.operators.summaries import cohorts
 from rostrum.operators.zscore import zscore
-from rostrum.plans.experiment import experiment, holdout_run
+from rostrum.plans.experiment import experiment, holdout_predictions, holdout_run
 
 
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,6 +67,44 @@ def pca2(spark: SparkSession, folder: str) -> DataFrame:
     ).withColumns({c: rounded(c) for c in ("pc1", "pc2")})
 
 
+@query("""
+select rank, least(count(*), 100) as n, true as centred, true as uncorrelated
+from embeddings, (select unnest(['most', 'least']) as rank) group by rank""")
+def pca_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows per end of the projection; its components have mean 0 and do not correlate."""
+    ends = cohorts(vectors(spark, folder), "sum_norm", "vec_id")
+    out = principal_components(ends.select("rank", "x_embedding"), "x_embedding")
+    whole = out.agg(F.struct(
+        (F.abs(F.avg("pc1")) + F.abs(F.avg("pc2")) < 1e-6).alias("centred"),
+        (F.abs(F.covar_pop("pc1", "pc2")) < 1e-6).alias("uncorrelated"),
+    ).alias("c")).scalar()
+    return out.groupBy("rank").agg(F.count("*").alias("n")).withColumn("_c", whole).select(
+        "rank", "n", "_c.centred", "_c.uncorrelated"
+    )
+
+
+@query(f"""
+with lengths as (
+  select vec_id, list_sum(list_transform(embedding[1:4], lambda x: x::double * x::double)) as length
+  from embeddings
+), scored as (
+  select vec_id, {sql_z('length')} as z from lengths
+)
+select {sql_level('z')} as y, count(*) as n, count(distinct vec_id) as keys, true as adds_up
+from scored where ('0x' || substr(md5(vec_id::varchar || '|42'), 1, 8))::bigint % 100 < 20
+group by 1""")
+def forest_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The hold-out's predicted rows by true class: each key once, probabilities adding to 1."""
+    out = holdout_predictions(
+        vectors(spark, folder), "vec_id", "length_cat", ("x_posterior",), "forest"
+    )
+    total = F.col("low") + F.col("medium") + F.col("high")
+    return out.groupBy("y").agg(
+        F.count("*").alias("n"), F.count_distinct("key").alias("keys"),
+        F.bool_and(F.abs(total - 1) < 1e-9).alias("adds_up"),
+    )
+
+
 @query()
 def rbf_holdout(spark: SparkSession, folder: str) -> DataFrame:
     """One kernel machine on an 80/20 split: accuracy and weighted F1."""

@@ -24,7 +24,8 @@ def word_count(c: Column | str) -> Column:
 
 
 def clean_transcript(c: Column | str) -> Column:
-    """Drop every span from `(` to the next `)` on the same line."""
+    """Drop every span from `(` to the next `)` on the same line. Only a line feed ends a
+    line; the pattern says so itself, for Java's dot also stops at other line ends."""
     return F.regexp_replace(col(c), r"\([^)\n]*+\)", "")
 
 

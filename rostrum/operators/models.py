@@ -70,11 +70,15 @@ def _scores(df: DataFrame, labels: Sequence[str], prediction: str, probability:
 
 def forest(
     train: DataFrame, test: DataFrame, labels: Sequence[str], trees: int = 100,
-    depth: int = 30, seed: int = SEED,
+    depth: int = 30, seed: int = SEED, min_rows: int = 1, memory_mb: int = 256,
 ) -> DataFrame:
+    """Spark ML's forest. The driver keeps every node, and deep trees have more of them the
+    more rows there are: raise `min_rows` per leaf on large tables, and `memory_mb`, the
+    statistics of the nodes split at a time, to save passes."""
     model = RandomForestClassifier(
         featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth,
-        featureSubsetStrategy="sqrt", seed=seed,
+        featureSubsetStrategy="sqrt", seed=seed, minInstancesPerNode=min_rows,
+        maxMemoryInMB=memory_mb,
     ).fit(train.withColumn("label", label_index(labels)).select("x", "label"))
     return _scores(model.transform(test), labels, "prediction", "probability")
 

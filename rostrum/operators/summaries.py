@@ -66,7 +66,11 @@ def cohorts(df: DataFrame, metric: str, key: str, n: int = COHORT_SIZE) -> DataF
 def join_on_text(
     left: DataFrame, right: DataFrame, key: str, null_as_text: bool = False
 ) -> DataFrame:
-    """Inner join on a stripped key. AQE picks the strategy and splits skewed keys."""
+    """Inner join on a stripped key. AQE picks the strategy and splits skewed keys.
+
+    `null_as_text` joins every row without a key to every other such row: leave it off
+    unless one side has few of them.
+    """
     return left.withColumn(key, join_key(key, null_as_text)).join(
         right.withColumn(key, join_key(key, null_as_text)), key, "inner"
     )

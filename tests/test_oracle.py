@@ -12,7 +12,7 @@ QUERIES, SQL = bindings.queries(), bindings.oracle_sql()
 # The pair sums run in Arrow batches; fits have plans of their own.
 ARROW = {"corr_matrix", "corr_table", "corr_rank", "cohort_correlations", "survey_correlations",
          "survey_pairs"}
-FITS = {"pca2", "rbf_holdout", "forest_holdout", "cv_scores", "scaled"}
+FITS = {"pca2", "rbf_holdout", "forest_holdout", "cv_scores", "scaled", "pca_checks", "forest_rows"}
 
 
 @pytest.fixture(scope="module")
