@@ -27,7 +27,7 @@ LEAST_COVERAGE = 0.75
 FILTER_BITS = 22
 BROADCAST_ROWS = 200_000
 BATCH = 128
-MOST_CHUNKS = 1 << 19
+MOST_CHUNKS = 1 << 18  # chunks a worker remembers; workers serve many operators in turn
 
 # Units that follow a number, and numbers in words.
 UNITS = set("""mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg lb lbs oz pound pounds ton

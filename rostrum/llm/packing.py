@@ -25,7 +25,7 @@ END = 0
 # A piece may leave so large a part of its share of a sequence empty; beyond it is cut.
 SLACK = 1 / 32
 BATCH = 64
-MOST_WORDS = 1 << 19  # words a worker remembers
+MOST_WORDS = 1 << 18  # words a worker remembers; workers serve many operators in turn
 SLICE_ROWS = 1 << 20
 BROADCAST_ROWS = 1 << 20
 

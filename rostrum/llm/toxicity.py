@@ -28,7 +28,7 @@ PRIOR_WEIGHT = 0.5  # of one more vote that holds the sample's share of label 1
 BEGINNINGS = range(3, 9)
 WORD = re.compile(r"\w+")
 BATCH = 256
-MOST_WORDS = 1 << 19
+MOST_WORDS = 1 << 17
 LONGEST_WORD = 64  # beyond, a word has only its beginnings, no term of its own
 
 
