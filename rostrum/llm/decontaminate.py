@@ -15,7 +15,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rostrum.llm.registry import fresh
 from rostrum.llm.shingles import BAND_SEEDS, SEEDS, mix
@@ -24,6 +24,7 @@ from rostrum.session import durable
 WORDS = 5
 LEAST_LITERALS = 3  # of a window's tokens; placeholders alone say nothing
 LEAST_COVERAGE = 0.75
+LEAST_RUN = 13  # tokens in a row that tell an item of which less is left
 FILTER_BITS = 22
 BROADCAST_ROWS = 200_000
 BATCH = 128
@@ -152,9 +153,22 @@ def windows(texts: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
     return texts.mapInArrow(run, WINDOWS)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_COVERAGE) -> DataFrame:
-    """`(doc, item, coverage, template)` of documents that hold at least `least` of an item's
-    windows. `docs`, `benchmark`: id and text. `template`: numbers, names or units differ.
+def _longest(places: Column) -> Column:
+    """The most consecutive numbers in a sorted array."""
+    start = F.struct(F.lit(-2).alias("last"), F.lit(0).alias("n"), F.lit(0).alias("most"))
+
+    def step(state: Column, at: Column) -> Column:
+        n = F.when(at == state["last"] + 1, state["n"] + 1).otherwise(1)
+        return F.struct(at.alias("last"), n.alias("n"), F.greatest(state["most"], n).alias("most"))
+    return F.aggregate(places, start, step, lambda state: state["most"])
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_COVERAGE, least_run: int = LEAST_RUN
+          ) -> DataFrame:
+    """`(doc, item, coverage, run, template)` of documents that hold at least `least` of an
+    item's windows, or `least_run` of its tokens in a row on one diagonal: a part of an item
+    is left where other lines of it were dropped. `docs`, `benchmark`: id and text.
+    `template`: numbers, names or units differ.
 
     An item's share counts its plain windows, or its windows with typed ones in the place
     of those that have slots. Items of fewer than five tokens and null or empty texts
@@ -195,6 +209,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_COVERAGE)
     )
     distinct = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
     consistent = lines.where((F.size("pairs") == distinct("a")) & (F.size("pairs") == distinct("b")))
+    runs = consistent.groupBy("doc", "item", "diagonal").agg(
+        _longest(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places"))))).alias("run")
+    ).groupBy("doc", "item").agg((F.max("run") + (WORDS - 1)).alias("run"))
     places = consistent.select("doc", "item", "mode", F.explode("places").alias("at")).distinct()
     # Per mode: a typed window stands in for the plain one at its place.
     seen = places.groupBy("doc", "item", "at").agg(F.min("mode").alias("mode")).groupBy("doc", "item").agg(
@@ -202,8 +219,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_COVERAGE)
     )
     sizes = items.groupBy("item").agg(F.count_distinct("pos").alias("windows"))
     covered = seen.join(sizes, "item").withColumn("coverage", F.col("n") / F.col("windows"))
-    return covered.where(F.col("coverage") >= least).select(
-        "doc", "item", "coverage", (F.col("mode") == TYPED).alias("template"),
+    known = covered.withColumnRenamed("doc", "d").withColumnRenamed("item", "i").join(
+        runs, F.col("d").eqNullSafe(F.col("doc")) & (F.col("i") == F.col("item"))
+    )
+    return known.where((F.col("coverage") >= least) | (F.col("run") >= least_run)).select(
+        "doc", "item", "coverage", "run", (F.col("mode") == TYPED).alias("template"),
     )
 
 
