@@ -9,25 +9,27 @@ are matched as well, so that a change of case does not hide an item.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rostrum.llm.registry import fresh
-from rostrum.llm.shingles import BAND_SEEDS, SEEDS, mix
+from rostrum.llm.shingles import BAND_SEEDS, SEEDS, mix, powers
 from rostrum.session import durable
 
 WORDS = 5
-LEAST_LITERALS = 3  # of a window's tokens; placeholders alone say nothing
+LEAST_LITERALS = 3  # of a typed window's tokens, which is widened to hold them; placeholders alone say nothing
 LEAST_COVERAGE = 0.75
 LEAST_RUN = 13  # tokens in a row that tell an item of which less is left
 FILTER_BITS = 22
 BROADCAST_ROWS = 200_000
 BATCH = 128
+BATCH_CHARS = 1 << 18
 MOST_CHUNKS = 1 << 18  # chunks a worker remembers; workers serve many operators in turn
 
 # Units that follow a number, and numbers in words.
@@ -45,9 +47,11 @@ CLASS = np.uint64(7)
 NAME_CODE, NUMBER_CODE, UNIT_CODE = (np.uint64(x) for x in SEEDS[-3:])
 PLACES = BAND_SEEDS[:WORDS]
 PLAIN, TYPED = 0, 1
-MODE_SEEDS = BAND_SEEDS[WORDS:WORDS + 2]
+MODE_SEEDS = BAND_SEEDS[WORDS:WORDS + 3]
+WHOLE_SEED = BAND_SEEDS[WORDS + 3]
+WIDE_SEEDS = BAND_SEEDS[WORDS + 4:WORDS + 5 + LEAST_LITERALS]
 
-WINDOWS = "doc bigint, mode int, hash bigint, pos int, slots int, plain array<bigint>"
+WINDOWS = "doc bigint, mode int, hash bigint, pos int, slots int, plain array<bigint>, hashed int"
 
 
 class _Codes(dict):
@@ -79,25 +83,31 @@ class _Codes(dict):
 _codes = _Codes()
 
 
-def canonical(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Plain and typed token codes of a text. A capitalised word inside a sentence is a
-    name; a unit is one only next to a number."""
-    chunks = (text or "").replace("\n", " \n ").split(" ")
-    raw = np.fromiter(chain.from_iterable(map(_codes.__getitem__, chunks)), np.uint64)
+def canonical(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """Tokens of all the texts in a row: the text each is from, plain codes, and typed codes
+    by mode. A capitalised word inside a sentence is a name; a unit is one only next to a
+    number."""
+    raw, ends = [], []
+    for text in texts:
+        raw.extend(chain.from_iterable(map(_codes.__getitem__, (text or "").replace("\n", " \n ").split(" "))))
+        ends.append(len(raw))
+    own = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
+    raw = np.array(raw, np.uint64)
     kind = raw & CLASS
+    same = own[1:] == own[:-1]
     inside = np.zeros(len(raw), bool)
-    inside[1:] = kind[:-1] != STOP
+    inside[1:] = same & (kind[:-1] != STOP)
     number = kind == NUMBER
     beside = np.zeros(len(raw), bool)
-    beside[1:] = number[:-1]
-    beside[:-1] |= number[1:]
+    beside[1:] = same & number[:-1]
+    beside[:-1] |= same & number[1:]
     plain = raw & ~CLASS
     typed = plain.copy()
     typed[(kind == CAPITAL) & inside] = NAME_CODE
     typed[number] = NUMBER_CODE
     typed[(kind == UNIT) & beside] = UNIT_CODE
     keep = kind != STOP
-    return plain[keep], typed[keep]
+    return own[keep], plain[keep], {TYPED: typed[keep]}
 
 
 def _windows(codes: np.ndarray, mode: int, at: np.ndarray | None = None) -> np.ndarray:
@@ -110,45 +120,115 @@ def _windows(codes: np.ndarray, mode: int, at: np.ndarray | None = None) -> np.n
     return mix(h)
 
 
-def _wanted(h: np.ndarray, bits: np.ndarray | None) -> np.ndarray:
-    if bits is None:
-        return np.arange(len(h))
-    bit = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-    return np.flatnonzero((bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
+def _spans(codes: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function from first and last places of any spans to their hashes, not yet mixed."""
+    power, inverse = powers(len(codes) + 1)
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * power[:len(codes)], out=sums[1:])
+    return lambda first, last: (sums[last] - sums[first]) * inverse[first]
 
 
-def windows(texts: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
-    """WINDOWS rows of `(id, text)`: both modes, typed ones only where they differ and hold
-    enough literals. `bits` keeps the windows whose hash may be wanted."""
-    shared = texts.sparkSession.sparkContext.broadcast(bits)  # 2^FILTER_BITS bits whatever the data
+class Wanted(NamedTuple):
+    """What documents need of the benchmark: a bit table of hashes, the most tokens of a
+    widened window, and (mode, tokens) of the items that are one window."""
+
+    bits: np.ndarray
+    widest: int
+    whole: list[tuple[int, int]]
+
+
+def _forms(texts: list[str | None], wanted: Wanted | None) -> Iterator[tuple]:
+    """Windows of the texts, as arrays: text, mode, hash, first token's position, slots, and
+    tokens of the place (two-dimensional), tokens hashed (negative: the whole item).
+
+    A typed window of fewer than LEAST_LITERALS literals is widened over the next ones
+    on its left and right, in each way to share them out; its place stays. An item that has
+    too few of them is one typed window, repeated for each place.
+    """
+    own, plain, readings = canonical(texts)
+    size = np.bincount(own, minlength=len(texts))
+    begin = np.cumsum(size) - size
+    pos, stop = np.arange(len(own)) - begin[own], (begin + size)[own]
+
+    def out(mode: int, h: np.ndarray, at: np.ndarray, slot: np.ndarray | None, hashed, width: int = WORDS) -> tuple:
+        if wanted:
+            bit = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+            some = np.flatnonzero((wanted.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
+            h, at = h[some], at[some]
+            hashed = hashed if np.isscalar(hashed) else hashed[some]
+        some = at[:, None] + np.arange(width)
+        slots = np.zeros(len(at), int) if slot is None else slot[some] @ (1 << np.arange(width))
+        return own[at], mode, h, pos[at], slots, plain[some], np.broadcast_to(hashed, len(at))
+
+    def whole(mode: int, codes: np.ndarray, slot: np.ndarray | None, n: int, at: np.ndarray) -> Iterator[tuple]:
+        base = _spans(codes)(at, at + n) + MODE_SEEDS[mode] + WHOLE_SEED
+        for i in range(max(1, n - WORDS + 1)):
+            yield out(mode, mix(base + np.uint64(i) * PLACES[0]), at + i, slot, -n, min(n, WORDS))
+
+    full = np.flatnonzero(pos + WORDS <= size[own])
+    if len(full):
+        yield out(PLAIN, _windows(plain, PLAIN)[full], full, None, WORDS)
+    for mode, codes in readings.items():
+        slot = codes != plain
+        if not slot.any():
+            continue
+        literals = np.zeros(len(slot) + 1, np.int64)
+        np.cumsum(~slot, out=literals[1:])
+        held = literals[full + WORDS] - literals[full]
+        at = full[(held < WORDS) & (held >= LEAST_LITERALS)]
+        yield out(mode, _windows(codes, mode, at), at, slot, WORDS)
+        poor, lack = full[held < LEAST_LITERALS], LEAST_LITERALS - held[held < LEAST_LITERALS]
+        if len(poor):
+            span = _spans(codes)
+        for left in range(LEAST_LITERALS + 1 if len(poor) else 0):
+            at, right = poor[lack >= left], lack[lack >= left] - left
+            to = at + WORDS
+            first = np.searchsorted(literals, literals[at] - left, "right") - 1 if left else at
+            last = np.where(right > 0, np.searchsorted(literals, literals[to] + right), to)
+            ok = (literals[at] - left >= literals[begin[own[at]]]) & (last <= stop[at])
+            if wanted:
+                ok &= last - first <= wanted.widest
+            at, first, last = at[ok], first[ok], last[ok]
+            h = mix(span(first, last) + MODE_SEEDS[mode] + WIDE_SEEDS[left])
+            yield out(mode, h, at, slot, last - first)
+        if not wanted:
+            some = literals[begin + size] - literals[begin]
+            few = (size >= WORDS) & (some > 0) & (some < LEAST_LITERALS)
+            for n in np.unique(size[few]).tolist():
+                yield from whole(mode, codes, slot, n, begin[few & (size == n)])
+    for mode, n in wanted.whole if wanted else []:
+        codes = plain if mode == PLAIN else readings[mode]
+        at = np.flatnonzero(pos + n <= size[own])
+        if len(at):
+            yield from whole(mode, codes, None if mode == PLAIN else codes != plain, n, at)
+
+
+def _groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that are read at once: BATCH of them, or less of long ones."""
+    at = held = 0
+    for i, text in enumerate(texts):
+        held += len(text or "")
+        if i + 1 - at == BATCH or held >= BATCH_CHARS or i + 1 == len(texts):
+            yield at, i + 1
+            at, held = i + 1, 0
+
+
+def windows(texts: DataFrame, wanted: Wanted | None = None) -> DataFrame:
+    """WINDOWS rows of `(id, text)`: of items, or of documents those that may be `wanted`."""
+    shared = texts.sparkSession.sparkContext.broadcast(wanted)  # 2^FILTER_BITS bits whatever the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
         for whole in batches:
-            for at in range(0, whole.num_rows, BATCH):
-                batch = whole.slice(at, BATCH)
-                out = []
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    plain, typed = canonical(text)
-                    h = _windows(plain, PLAIN)
-                    for p in _wanted(h, bits).tolist():
-                        out.append((doc, PLAIN, int(h[p].view(np.int64)), p, 0, plain[p:p + WORDS].view(np.int64)))
-                    slot = plain != typed
-                    if len(h) and slot.any():
-                        places = np.lib.stride_tricks.sliding_window_view(slot, WORDS)
-                        n = places.sum(axis=1)
-                        at_slots = np.flatnonzero((n > 0) & (WORDS - n >= LEAST_LITERALS))
-                        h = _windows(typed, TYPED, at_slots)
-                        for i in _wanted(h, bits).tolist():
-                            p = int(at_slots[i])
-                            out.append((doc, TYPED, int(h[i].view(np.int64)), p, int(places[p] @ (1 << np.arange(WORDS))),
-                                        plain[p:p + WORDS].view(np.int64)))
-                if out:
-                    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(list(c), k) for c, k in zip(zip(*out), kinds)],
-                        ["doc", "mode", "hash", "pos", "slots", "plain"],
-                    )
+            every = whole.column(1).to_pylist()
+            for a, b in _groups(every):
+                for own, mode, h, pos, slots, plain, hashed in _forms(every[a:b], shared.value):
+                    if len(h):
+                        offsets = np.arange(len(h) + 1, dtype=np.int32) * plain.shape[1]
+                        yield pa.RecordBatch.from_arrays([
+                            whole.column(0).take(pa.array(own + a)), pa.array(np.full(len(h), mode, np.int32)),
+                            pa.array(h.view(np.int64)), pa.array(pos.astype(np.int32)), pa.array(slots.astype(np.int32)),
+                            pa.ListArray.from_arrays(offsets, plain.ravel().view(np.int64)), pa.array(hashed.astype(np.int32)),
+                        ], ["doc", "mode", "hash", "pos", "slots", "plain", "hashed"])
 
     return texts.mapInArrow(run, WINDOWS)
 
@@ -184,6 +264,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_COVERAGE,
     bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
     np.bitwise_or.at(bits, cells >> 3, (1 << (cells & 7)).astype(np.uint8))
 
+    wide, odd = F.max("hashed").alias("widest"), F.collect_set(F.when(F.col("hashed") < 0, F.struct("mode", "hashed")))
+    shape = items.agg(wide, odd.alias("whole")).first()
+    wanted = Wanted(bits, shape["widest"] or WORDS, sorted((r["mode"], -r["hashed"]) for r in shape["whole"]))
+
     held = items.count()
     own = items.select(
         "item", "mode", "hash", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"),
@@ -192,7 +276,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_COVERAGE,
     if held <= BROADCAST_ROWS:
         own = F.broadcast(own)
     doc, body = docs.columns
-    found = windows(docs.select(F.col(doc).cast("bigint"), F.col(body)), bits)
+    found = windows(docs.select(F.col(doc).cast("bigint"), F.col(body)), wanted)
     # Slots of the window as (what the item has, what the document has).
     pairs = F.transform(F.filter(
         F.arrays_zip("item_plain", "plain", F.array(*[F.lit(i) for i in range(WORDS)]).alias("at")),

@@ -22,3 +22,13 @@ def test_rest_of_an_item_after_line_dedup(spark, tmp_path):
     assert {r.doc_id: r.text for r in left.collect()}[2] == "\n".join(lines[1:])
     kept = corpus_pipeline.uncontaminated(spark, left, str(tmp_path))
     assert {r.doc_id for r in kept.collect()} == {3, 4}
+
+
+def test_items_dense_in_numbers(spark):
+    items = ["What is 12 + 35 - 7 times 4", "so Tom pays 3 dollars 5 cents for 7 apples 2 pears", "what is 12 + 35 - 7",
+             "from a b to 1 2 3 4 5 6 7 8 9 we go c d"]
+    texts = ["so what is 31 + 4 - 26 times 9", "what is 3 + 4 - 5", "today so Ann pays 8 euros 1 cent for 4 apples 6 pears",
+             "What is 31 + 4 - 26 over 9", "so Ann pays 8 euros 8 cents for 4 apples 6 pears", "is 3 4 5 and 6 7 8 9",
+             "3 4 5 6 7 8 9", "from a b to 9 8 7 6 5 4 3 2 1 we go c d"]
+    assert flagged(spark, items[:2], texts) == [(0, True), (2, True)]
+    assert flagged(spark, items[2:], texts) == [(0, True), (1, True), (3, True), (7, True)]
