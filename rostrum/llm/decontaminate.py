@@ -2,8 +2,9 @@
 
 Tokens become typed placeholders; windows of five canonical tokens of both sides meet in
 a hash join. Windows on one diagonal (document position minus item position) must map
-the item's slot values to the document's one to one throughout. Windows of plain tokens
-are matched as well, so that a change of case does not hide an item.
+the item's slot values to the document's one to one throughout. A word that begins a
+sentence is read twice, as a word and as a name. Windows of plain tokens are matched as
+well, so that a change of case does not hide an item.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ SMALL, CAPITAL, NUMBER, UNIT, STOP = range(5)
 CLASS = np.uint64(7)
 NAME_CODE, NUMBER_CODE, UNIT_CODE = (np.uint64(x) for x in SEEDS[-3:])
 PLACES = BAND_SEEDS[:WORDS]
-PLAIN, TYPED = 0, 1
+PLAIN, TYPED, NAMED = 0, 1, 2
 MODE_SEEDS = BAND_SEEDS[WORDS:WORDS + 3]
 WHOLE_SEED = BAND_SEEDS[WORDS + 3]
 WIDE_SEEDS = BAND_SEEDS[WORDS + 4:WORDS + 5 + LEAST_LITERALS]
@@ -85,8 +86,8 @@ _codes = _Codes()
 
 def canonical(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
     """Tokens of all the texts in a row: the text each is from, plain codes, and typed codes
-    by mode. A capitalised word inside a sentence is a name; a unit is one only next to a
-    number."""
+    by mode. A capitalised word inside a sentence is a name, in NAMED also one that begins
+    a sentence; a unit is one only next to a number."""
     raw, ends = [], []
     for text in texts:
         raw.extend(chain.from_iterable(map(_codes.__getitem__, (text or "").replace("\n", " \n ").split(" "))))
@@ -106,8 +107,10 @@ def canonical(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, dict[int
     typed[(kind == CAPITAL) & inside] = NAME_CODE
     typed[number] = NUMBER_CODE
     typed[(kind == UNIT) & beside] = UNIT_CODE
+    named = typed.copy()
+    named[kind == CAPITAL] = NAME_CODE
     keep = kind != STOP
-    return own[keep], plain[keep], {TYPED: typed[keep]}
+    return own[keep], plain[keep], {TYPED: typed[keep], NAMED: named[keep]}
 
 
 def _windows(codes: np.ndarray, mode: int, at: np.ndarray | None = None) -> np.ndarray:
@@ -307,7 +310,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_COVERAGE,
         runs, F.col("d").eqNullSafe(F.col("doc")) & (F.col("i") == F.col("item"))
     )
     return known.where((F.col("coverage") >= least) | (F.col("run") >= least_run)).select(
-        "doc", "item", "coverage", "run", (F.col("mode") == TYPED).alias("template"),
+        "doc", "item", "coverage", "run", (F.col("mode") >= TYPED).alias("template"),
     )
 
 

@@ -32,3 +32,10 @@ def test_items_dense_in_numbers(spark):
              "3 4 5 6 7 8 9", "from a b to 9 8 7 6 5 4 3 2 1 we go c d"]
     assert flagged(spark, items[:2], texts) == [(0, True), (2, True)]
     assert flagged(spark, items[2:], texts) == [(0, True), (1, True), (3, True), (7, True)]
+
+
+def test_names_that_begin_sentences(spark):
+    item = "Alice has 12 apples. Bob gives Alice 5 apples. How many apples does Alice have now?"
+    other = "Carol has 7 apples. Dave gives Carol 3 apples. How many apples does Carol have now?"
+    texts = [other, f"Question: {other}", other.replace("does Carol", "does Erin"), "How many apples does Bob have now?"]
+    assert flagged(spark, [item], texts) == [(0, True), (1, True)]
