@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from hashlib import blake2b
 from itertools import chain
 from typing import NamedTuple
@@ -42,7 +43,12 @@ NUMBER_WORDS = set("""one two three four five six seven eight nine ten eleven tw
 sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand
 million""".split())
 
-TOKEN = re.compile(r"[^\W\d_]+|[.!?\n%$€£°]|\d+(?:[.,:/]\d+)*")
+# Letters and marks of scripts that put no blanks between words are tokens of their own: Thai, Lao, Burmese,
+# Khmer, Japanese, Bopomofo, Chinese.
+UNSPACED = ("\u0e01-\u0e3a\u0e40-\u0e4e\u0e81-\u0ecf\u0edc-\u0edf\u1000-\u103f\u1050-\u108f\u109a-\u109f\u1780-\u17d3"
+            "\u3005-\u3007\u3041-\u309f\u30a1-\u30fa\u30fc-\u30ff\u3105-\u312f\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff"
+            "\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff")
+TOKEN = re.compile(rf"[^\W\d_{UNSPACED}]+|[{UNSPACED}]|[.!?\n%$€£°]|\d+(?:[.,:/]\d+)*")
 SMALL, CAPITAL, NUMBER, UNIT, STOP = range(5)
 CLASS = np.uint64(7)
 NAME_CODE, NUMBER_CODE, UNIT_CODE = (np.uint64(x) for x in SEEDS[-3:])
@@ -66,6 +72,7 @@ class _Codes(dict):
         return codes
 
     @staticmethod
+    @lru_cache(1 << 14)  # characters of unspaced scripts come back in ever new chunks
     def code(token: str) -> int:
         low = token.lower()
         if token in ".!?\n":
@@ -146,7 +153,8 @@ def _forms(texts: list[str | None], wanted: Wanted | None) -> Iterator[tuple]:
 
     A typed window of fewer than LEAST_LITERALS literals is widened over the next ones
     on its left and right, in each way to share them out; its place stays. An item that has
-    too few of them is one typed window, repeated for each place.
+    too few of them is one typed window, repeated for each place. An item of fewer than
+    WORDS tokens is one window, typed if it has enough literals.
     """
     own, plain, readings = canonical(texts)
     size = np.bincount(own, minlength=len(texts))
@@ -171,6 +179,8 @@ def _forms(texts: list[str | None], wanted: Wanted | None) -> Iterator[tuple]:
     full = np.flatnonzero(pos + WORDS <= size[own])
     if len(full):
         yield out(PLAIN, _windows(plain, PLAIN)[full], full, None, WORDS)
+    for n in range(1, WORDS if not wanted else 0):
+        yield from whole(PLAIN, plain, None, n, begin[size == n])
     for mode, codes in readings.items():
         slot = codes != plain
         if not slot.any():
@@ -197,6 +207,7 @@ def _forms(texts: list[str | None], wanted: Wanted | None) -> Iterator[tuple]:
         if not wanted:
             some = literals[begin + size] - literals[begin]
             few = (size >= WORDS) & (some > 0) & (some < LEAST_LITERALS)
+            few |= (size < WORDS) & (some < size) & (some >= LEAST_LITERALS)
             for n in np.unique(size[few]).tolist():
                 yield from whole(mode, codes, slot, n, begin[few & (size == n)])
     for mode, n in wanted.whole if wanted else []:
@@ -254,8 +265,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_COVERAGE,
     `template`: numbers, names or units differ.
 
     An item's share counts its plain windows, or its windows with typed ones in the place
-    of those that have slots. Items of fewer than five tokens and null or empty texts
-    match nothing. Rows of one id are one document, those without an id another one.
+    of those that have slots. An item of fewer than five tokens is one window; null
+    and empty texts match nothing. Rows of one id are one document, those without an id another one.
     """
     key, text = benchmark.columns
     items = durable(windows(benchmark.select(F.col(key).cast("bigint"), F.col(text)))

@@ -39,3 +39,10 @@ def test_names_that_begin_sentences(spark):
     other = "Carol has 7 apples. Dave gives Carol 3 apples. How many apples does Carol have now?"
     texts = [other, f"Question: {other}", other.replace("does Carol", "does Erin"), "How many apples does Bob have now?"]
     assert flagged(spark, [item], texts) == [(0, True), (1, True)]
+
+
+def test_short_items_and_scripts_without_blanks(spark):
+    items = ["What is love?", "日本の首都はどこですか。", "กรุงเทพเป็นเมืองหลวง", "猫とは何", "", "..."]
+    texts = ["What is love?", "he asked: what is love", "love is what", "問題：日本の首都はどこですか。答え：東京", "日本の首都", "",
+             "ถามกรุงเทพเป็นเมืองหลวงตอบ", "これは猫とは何か", "what is", "..."]
+    assert flagged(spark, items, texts) == [(0, False), (1, False), (3, False), (6, False), (7, False)]
