@@ -58,7 +58,7 @@ MODE_SEEDS = BAND_SEEDS[WORDS:WORDS + 3]
 WHOLE_SEED = BAND_SEEDS[WORDS + 3]
 WIDE_SEEDS = BAND_SEEDS[WORDS + 4:WORDS + 5 + LEAST_LITERALS]
 
-WINDOWS = "doc bigint, mode int, hash bigint, pos int, slots int, plain array<bigint>, hashed int"
+WINDOWS = "doc bigint, version bigint, mode int, hash bigint, pos int, slots int, plain array<bigint>, hashed int"
 
 
 class _Codes(dict):
@@ -228,21 +228,22 @@ def _groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 
 
 def windows(texts: DataFrame, wanted: Wanted | None = None) -> DataFrame:
-    """WINDOWS rows of `(id, text)`: of items, or of documents those that may be `wanted`."""
+    """WINDOWS rows of `(id, version, text)`: of items, or of documents those that may be `wanted`."""
     shared = texts.sparkSession.sparkContext.broadcast(wanted)  # 2^FILTER_BITS bits whatever the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            every = whole.column(1).to_pylist()
+            every = whole.column(2).to_pylist()
             for a, b in _groups(every):
                 for own, mode, h, pos, slots, plain, hashed in _forms(every[a:b], shared.value):
                     if len(h):
                         offsets = np.arange(len(h) + 1, dtype=np.int32) * plain.shape[1]
+                        rows = pa.array(own + a)
                         yield pa.RecordBatch.from_arrays([
-                            whole.column(0).take(pa.array(own + a)), pa.array(np.full(len(h), mode, np.int32)),
+                            whole.column(0).take(rows), whole.column(1).take(rows), pa.array(np.full(len(h), mode, np.int32)),
                             pa.array(h.view(np.int64)), pa.array(pos.astype(np.int32)), pa.array(slots.astype(np.int32)),
                             pa.ListArray.from_arrays(offsets, plain.ravel().view(np.int64)), pa.array(hashed.astype(np.int32)),
-                        ], ["doc", "mode", "hash", "pos", "slots", "plain", "hashed"])
+                        ], ["doc", "version", "mode", "hash", "pos", "slots", "plain", "hashed"])
 
     return texts.mapInArrow(run, WINDOWS)
 
@@ -257,19 +258,25 @@ def _longest(places: Column) -> Column:
     return F.aggregate(places, start, step, lambda state: state["most"])
 
 
+def _version(text: Column) -> Column:
+    """Tells the texts of one id from each other."""
+    return F.xxhash64(text)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_COVERAGE, least_run: int = LEAST_RUN
           ) -> DataFrame:
-    """`(doc, item, coverage, run, template)` of documents that hold at least `least` of an
+    """`(doc, version, item, coverage, run, template)` of documents that hold at least `least` of an
     item's windows, or `least_run` of its tokens in a row on one diagonal: a part of an item
     is left where other lines of it were dropped. `docs`, `benchmark`: id and text.
     `template`: numbers, names or units differ.
 
     An item's share counts its plain windows, or its windows with typed ones in the place
     of those that have slots. An item of fewer than five tokens is one window; null
-    and empty texts match nothing. Rows of one id are one document, those without an id another one.
+    and empty texts match nothing. Rows of one id, or without one, that have different texts
+    are different documents.
     """
     key, text = benchmark.columns
-    items = durable(windows(benchmark.select(F.col(key).cast("bigint"), F.col(text)))
+    items = durable(windows(benchmark.select(F.col(key).cast("bigint"), F.lit(0).cast("bigint"), F.col(text)))
                     .withColumnRenamed("doc", "item"), "items")
     # Cells of a bit table: at most 2^FILTER_BITS small numbers, whatever the benchmark's size.
     cells = items.select(
@@ -290,62 +297,63 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_COVERAGE,
     if held <= BROADCAST_ROWS:
         own = F.broadcast(own)
     doc, body = docs.columns
-    found = windows(docs.select(F.col(doc).cast("bigint"), F.col(body)), wanted)
+    found = windows(docs.select(F.col(doc).cast("bigint"), _version(F.col(body)), F.col(body)), wanted)
     # Slots of the window as (what the item has, what the document has).
     pairs = F.transform(F.filter(
         F.arrays_zip("item_plain", "plain", F.array(*[F.lit(i) for i in range(WORDS)]).alias("at")),
         lambda x: F.get(F.array(*[F.col("slots").bitwiseAND(F.lit(1 << i)) > 0 for i in range(WORDS)]), x["at"]),
     ), lambda x: F.struct(x["item_plain"].alias("a"), x["plain"].alias("b")))
     met = found.join(own, ["mode", "hash"]).where("slots = item_slots").select(
-        "doc", "item", "mode", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "item_pos",
+        "doc", "version", "item", "mode", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "item_pos",
         pairs.alias("pairs"),
     )
     # A diagonal meets each of the item's windows at most once per text.
-    lines = met.groupBy("doc", "item", "mode", "diagonal").agg(
+    lines = met.groupBy("doc", "version", "item", "mode", "diagonal").agg(
         F.collect_set("item_pos").alias("places"),
-        F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"),
+        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
     )
     distinct = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
     consistent = lines.where((F.size("pairs") == distinct("a")) & (F.size("pairs") == distinct("b")))
-    runs = consistent.groupBy("doc", "item", "diagonal").agg(
+    runs = consistent.groupBy("doc", "version", "item", "diagonal").agg(
         _longest(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places"))))).alias("run")
-    ).groupBy("doc", "item").agg((F.max("run") + (WORDS - 1)).alias("run"))
-    places = consistent.select("doc", "item", "mode", F.explode("places").alias("at")).distinct()
+    ).groupBy("doc", "version", "item").agg((F.max("run") + (WORDS - 1)).alias("run"))
+    places = consistent.select("doc", "version", "item", "mode", F.explode("places").alias("at")).distinct()
     # Per mode: a typed window stands in for the plain one at its place.
-    seen = places.groupBy("doc", "item", "at").agg(F.min("mode").alias("mode")).groupBy("doc", "item").agg(
+    seen = places.groupBy("doc", "version", "item", "at").agg(F.min("mode").alias("mode")).groupBy("doc", "version", "item").agg(
         F.count("*").alias("n"), F.max("mode").alias("mode")
     )
     sizes = items.groupBy("item").agg(F.count_distinct("pos").alias("windows"))
     covered = seen.join(sizes, "item").withColumn("coverage", F.col("n") / F.col("windows"))
-    known = covered.withColumnRenamed("doc", "d").withColumnRenamed("item", "i").join(
-        runs, F.col("d").eqNullSafe(F.col("doc")) & (F.col("i") == F.col("item"))
+    known = covered.withColumnsRenamed({"doc": "d", "version": "v", "item": "i"}).join(
+        runs, F.col("d").eqNullSafe(F.col("doc")) & (F.col("v") == F.col("version")) & (F.col("i") == F.col("item"))
     )
     return known.where((F.col("coverage") >= least) | (F.col("run") >= least_run)).select(
-        "doc", "item", "coverage", "run", (F.col("mode") >= TYPED).alias("template"),
+        "doc", "version", "item", "coverage", "run", (F.col("mode") >= TYPED).alias("template"),
     )
 
 
 def verdicts(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_COVERAGE) -> DataFrame:
-    """`(doc, n_items, item, coverage, template)` of contaminated documents; the item is the
+    """`(doc, version, n_items, item, coverage, template)` of contaminated documents; the item is the
     one covered best, ties to the smaller id."""
     best = F.max_by(F.struct("item", "coverage", "template"), F.struct("coverage", -F.col("item")))
-    return leaks(docs, benchmark, least).groupBy("doc").agg(
+    return leaks(docs, benchmark, least).groupBy("doc", "version").agg(
         F.count("*").alias("n_items"), best.alias("best")
-    ).select("doc", "n_items", "best.*")
+    ).select("doc", "version", "n_items", "best.*")
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text",
          least: float = LEAST_COVERAGE) -> tuple[DataFrame, list[str]]:
     """`docs` with `contaminated`, `n_items`, `item_id`, `coverage`, `template` (underscores
     before names that are taken), and those names. Every row comes back once."""
-    names = fresh(docs, "contaminated", "n_items", "item_id", "coverage", "template", "doc_")
-    flag, n, item, coverage, template, doc = names
+    names = fresh(docs, "contaminated", "n_items", "item_id", "coverage", "template", "doc_", "version_")
+    flag, n, item, coverage, template, doc, version = names
     found = durable(verdicts(docs.select(F.col(f"`{id_column}`"), F.col(f"`{text}`")), benchmark, least), "leaks")
     own = found.select(
-        F.col("doc").alias(doc), F.col("n_items").alias(n), F.col("item").alias(item),
+        F.col("doc").alias(doc), F.col("version").alias(version), F.col("n_items").alias(n), F.col("item").alias(item),
         F.col("coverage").alias(coverage), F.col("template").alias(template),
     )
-    joined = docs.join(own, F.col(f"`{id_column}`").cast("bigint").eqNullSafe(F.col(doc)), "left")
+    joined = docs.join(own, F.col(f"`{id_column}`").cast("bigint").eqNullSafe(F.col(doc))
+                       & (_version(F.col(f"`{text}`")) == F.col(version)), "left")
     return joined.withColumns({
         flag: F.col(n).isNotNull(), n: F.coalesce(F.col(n), F.lit(0).cast("bigint")),
-    }).select(*docs.columns, *names[:-1]), names[:-1]
+    }).select(*docs.columns, *names[:-2]), names[:-2]

@@ -46,3 +46,14 @@ def test_short_items_and_scripts_without_blanks(spark):
     texts = ["What is love?", "he asked: what is love", "love is what", "問題：日本の首都はどこですか。答え：東京", "日本の首都", "",
              "ถามกรุงเทพเป็นเมืองหลวงตอบ", "これは猫とは何か", "what is", "..."]
     assert flagged(spark, items, texts) == [(0, False), (1, False), (3, False), (6, False), (7, False)]
+
+
+def test_texts_of_one_id_are_judged_apart(spark):
+    item = "if Alice has 12 apples and gives Bob 5 apples then how many apples does Alice have left after 3 days"
+    one, two = item.replace("Alice", "Carol").replace("12", "7"), item.replace("Alice", "Erin").replace("12", "9")
+    texts = [(None, one), (None, two), (None, "clean"), (None, None), (1, one), (1, two), (1, two), (1, "clean")]
+    assert [i for i, _ in flagged(spark, [item], [(i if i else -1, t) for i, t in texts])] == [-1, -1, 1, 1, 1]
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    out, _ = decontaminate.mark(spark.createDataFrame(texts, SCHEMA), bench)
+    assert sorted(r.text for r in out.where("contaminated and doc_id is null").collect()) == sorted([one, two])
+    assert out.count() == len(texts)
