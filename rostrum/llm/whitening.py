@@ -171,7 +171,7 @@ def _projected(x: Column, model: Whitening) -> Column:
 
 def fit(rows: DataFrame, x: str, most: int = MOST) -> Whitening | None:
     """The leading components of the distinct vectors in `x`, by the polar method; None without
-    any. All vectors have the same width. Their list is written once and read three times."""
+    any. All vectors have the same width. Their list is written once."""
     distinct = durable(rows.select(F.col(x).alias("x")).where(F.col(x).isNotNull()).distinct(), "vectors")
     first = distinct.first()
     if first is None:
@@ -179,23 +179,30 @@ def fit(rows: DataFrame, x: str, most: int = MOST) -> Whitening | None:
     width = len(first["x"])
     n, sums = sums_of(distinct, width)
     v = covariance(distinct, n, sums)
-    values, vectors = eigen(v)
-    k = min(most, width)
+    _, vectors = eigen(v)
+    vectors, trace = vectors[:, :most], float(np.trace(v))
+    k = vectors.shape[1]
+    # The variance along a component is finer than the matrix can tell beside larger ones.
+    plain = _moments(distinct, Whitening(n, sums, vectors, np.ones(k), trace), [(i, i) for i in range(k)])
+    values = np.array([plain[i, i] for i in range(k)])
     # What rounding leaves of a component without spread is none.
-    least = width * np.finfo(float).eps * max(float(values[0]), 0.0)
-    values = np.where(values > least, values, 0.0)
-    model = Whitening(n, sums, vectors[:, :k], values[:k], float(np.trace(v)))
-    spread = [i for i in range(k) if values[i] > 0]
+    values = np.where(values > (4 * width * np.finfo(float).eps) ** 2 * trace, values, 0.0)
+    order = np.argsort(-values, kind="stable")
+    model = Whitening(n, sums, vectors[:, order], values[order], trace)
+    spread = [i for i in range(k) if model.values[i] > 0]
     if spread:
-        white = distinct.select(_projected(F.col("x"), model)["whitened"].alias("w"))
-        pairs = [(i, j) for i in spread for j in spread if i <= j]
-        found = white.agg(*[  # centred and merged as it goes
-            F.covar_pop(F.col("w")[i], F.col("w")[j]).alias(f"{i}_{j}") for i, j in pairs
-        ]).first()
-        model.identity_error = max(abs(found[f"{i}_{j}"] - (i == j)) for i, j in pairs)
+        found = _moments(distinct, model, [(i, j) for i in spread for j in spread if i <= j])
+        model.identity_error = max(abs(c - (i == j)) for (i, j), c in found.items())
     return model
 
 
+def _moments(distinct: DataFrame, model: Whitening, pairs: list[tuple[int, int]]) -> dict[tuple[int, int], float]:
+    """Covariances of pairs of whitened values, centred and merged as they are added up."""
+    white = distinct.select(_projected(F.col("x"), model)["whitened"].alias("w"))
+    found = white.agg(*[F.covar_pop(F.col("w")[i], F.col("w")[j]).alias(f"{i}_{j}") for i, j in pairs]).first()
+    return {(i, j): found[f"{i}_{j}"] for i, j in pairs}
+
+
 def whiten(df: DataFrame, vector: str = "embedding", most: int = MOST) -> tuple[DataFrame, Whitening | None, list[str]]:
     """`df` without rows whose vector cannot be used, with `deviation` and `whitened` (up to
     `most` values) in columns whose names are returned, and the model they come from.
