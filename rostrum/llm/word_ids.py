@@ -33,7 +33,7 @@ class Memory:
         young, old = self.young, self.old
         new = set().union(*texts).difference(young)
         if new:
-            known = new.intersection(old)
+            known = [w for w in new if w in old]
             young.update(zip(known, map(old.__getitem__, known)))
             rest = list(new.difference(known))
             for at in range(0, len(rest), BATCH_WORDS):
@@ -65,7 +65,8 @@ class WordEndIds:
     a control character or what may be the text of a special token.
     """
 
-    whole = re.compile("[\x00\x1c-\x1f]|<\\|")
+    # The zero byte, and what Python splits words at but the tokenizer does not.
+    whole = ("<|", "\x00", "\x1c", "\x1d", "\x1e", "\x1f")
     latin = re.compile("[\x01-\u024f]*")
     # Fixed value: what the tokenizer file splits words into.
     parts = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -95,14 +96,16 @@ class WordEndIds:
         self.memory = Memory(self.words)
 
     def words(self, words: list[str]) -> list[bytes]:
+        text = "\n".join(words)
+        if self.latin.fullmatch(text):
+            marked = self.split.sub("\\g<0>\0", text.lower()) + "\n"
+            ids = np.array(self.ranks.encode_ordinary(marked), "<u4")
+            return cut_at(ids, np.flatnonzero(ids == self.line))
         plain = [w for w in words if self.latin.fullmatch(w)]
-        out = {}
+        other = [w for w in words if not self.latin.fullmatch(w)]
+        out = dict(zip(other, self.slow(other)))
         if plain:
-            marked = self.split.sub("\\g<0>\0", "\n".join(plain).lower()) + "\n"
-            ids = np.array(self.ranks.encode_ordinary(marked), "<u4")
-            out = dict(zip(plain, cut_at(ids, np.flatnonzero(ids == self.line))))
-        other = [w for w in words if w not in out]
-        out |= zip(other, self.slow(other))
+            out |= zip(plain, self.words(plain))
         return [out[w] for w in words]
 
     def slow(self, texts: list[str]) -> list[bytes]:
@@ -110,10 +113,13 @@ class WordEndIds:
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
     def __call__(self, texts: Sequence[str]) -> list[bytes]:
-        out = self.memory([[] if self.whole.search(t) else t.split() for t in texts])
-        for i, t in enumerate(texts):
-            if self.whole.search(t):
-                out[i], = self.slow([t])
+        odd = [i for i, t in enumerate(texts) if any(x in t for x in self.whole)]
+        words = [t.split() for t in texts]
+        for i in odd:
+            words[i] = []
+        out = self.memory(words)
+        for i in odd:
+            out[i], = self.slow([texts[i]])
         return out
 
 
