@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from rostrum.llm.word_ids import Memory, cut_at
 from rostrum.session import durable
 
 CAPACITY = 1024
@@ -25,17 +26,16 @@ END = 0
 # A piece may leave so large a part of its share of a sequence empty; beyond it is cut.
 SLACK = 1 / 32
 BATCH = 64
-MOST_WORDS = 1 << 18  # words a worker remembers; workers serve many operators in turn
+MOST_WORDS = 1 << 17  # in each half of a worker's memory; workers serve many operators in turn
 SLICE_ROWS = 1 << 20
 BROADCAST_ROWS = 1 << 20
 
 
-def class_counts(capacity: int = CAPACITY) -> list[int]:
-    """Pieces per sequence, by class: reciprocals up to 16, then doubling."""
-    out = list(range(1, min(16, capacity) + 1))
-    while out[-1] * 2 <= capacity:
-        out.append(out[-1] * 2)
-    return out
+@lru_cache(maxsize=8)
+def class_counts(capacity: int = CAPACITY) -> tuple[int, ...]:
+    """Pieces per sequence, by class: every number that is the most of some length, so a
+    piece within a 32nd of the capacity wastes less than a piece of a sequence."""
+    return tuple(sorted({capacity // n for n in range(1, capacity + 1)}))
 
 
 def cut(n: int, capacity: int = CAPACITY, slack: float = SLACK) -> list[tuple[int, int]]:
@@ -44,8 +44,8 @@ def cut(n: int, capacity: int = CAPACITY, slack: float = SLACK) -> list[tuple[in
     pieces = [(capacity, 0)] * (n // capacity)
     rest = n % capacity
     while rest:
-        k = max(i for i, c in enumerate(counts) if c * rest <= capacity)
-        if counts[k] * rest >= capacity * (1 - slack) or rest <= capacity // 16:
+        k = bisect_left(counts, capacity // rest)
+        if counts[k] * rest >= capacity * (1 - slack):
             pieces.append((rest, k))
             break
         size = capacity // counts[k + 1]
@@ -55,20 +55,24 @@ def cut(n: int, capacity: int = CAPACITY, slack: float = SLACK) -> list[tuple[in
 
 
 class Ids:
-    """Token ids of texts, by a byte-level BPE whose pieces never cross the start of a
-    single blank between two words. So words are looked up, each with the blank before it.
+    """Token ids of texts by a byte-level BPE whose pieces never go on from a character to a
+    blank behind it. So texts are cut before every run of white space and looked up word by
+    word, each with the white space before it.
 
     `vocabulary` is the tokenizer file; `ranks`, if given, the same vocabulary as ranks
-    for the faster library, which then encodes the words that are new.
+    for the faster library, which then encodes the new words of a batch at once.
     """
 
-    # Two blanks in a row, the joiner, or the text of a special token: encoded whole.
-    whole = re.compile(r"\s\s|\x00|<\|")
+    # The joiner, what Python alone takes for white space, and what may be the
+    # text of a special token. A text with one of them is encoded whole.
+    whole = ("<|", "\0", "\x1c", "\x1d", "\x1e", "\x1f")
+    word = re.compile(r"\s*\S+|\s+")
 
     def __init__(self, vocabulary: str, ranks: str | None = None, pattern: str | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.ranks = None
         if ranks:
             import base64
 
@@ -76,34 +80,46 @@ class Ids:
 
             with open(ranks, "rb") as lines:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            self.encode = tiktoken.Encoding(
-                "ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={}
-            ).encode_ordinary
-        else:
-            self.encode = self.slow
-        self.known: dict[str, bytes] = {}
-
-    def slow(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+            # The joiner is a piece of its own and part of no other.
+            self.ranks = tiktoken.Encoding(
+                "ranks", pat_str=r"\x00|" + pattern.replace(r"[^\s", r"[^\x00\s"), mergeable_ranks=table,
+                special_tokens={},
+            )
+            self.joiner = table[b"\0"]
+        self.memory = Memory(self.words, MOST_WORDS)
+
+    def slow(self, texts: Sequence[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False) if texts else []
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def words(self, words: list[str]) -> list[bytes]:
+        if self.ranks is None:
+            return self.slow(words)
+        # White space at a text's end would meet what follows it.
+        last = [w for w in words if w[-1].isspace()]
+        out = dict(zip(last, self.slow(last)))
+        rest = [w for w in words if w not in out] if last else words
+        if rest:
+            ids = np.array(self.ranks.encode_ordinary("\0".join(rest) + "\0"), "<u4")
+            own = cut_at(ids, np.flatnonzero(ids == self.joiner))
+            if not last:
+                return own
+            out |= zip(rest, own)
+        return [out[w] for w in words]
+
+    def many(self, texts: Sequence[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit numbers."""
+        odd = [i for i, t in enumerate(texts) if any(x in t for x in self.whole)]
+        words = [self.word.findall(t) for t in texts]
+        for i in odd:
+            words[i] = []
+        out = self.memory(words)
+        for i, ids in zip(odd, self.slow([texts[i] for i in odd])):
+            out[i] = ids
+        return out
 
     def __call__(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit numbers."""
-        if self.whole.search(text):
-            return np.array(self.slow(text), "<u4").tobytes()
-        known, encode = self.known, self.encode
-        parts = text.replace(" ", "\0 ").split("\0")
-        try:
-            return b"".join(map(known.__getitem__, parts))
-        except KeyError:
-            out = []
-            for p in parts:
-                ids = known.get(p)
-                if ids is None:
-                    ids = np.array(encode(p), "<u4").tobytes()
-                    if len(known) < MOST_WORDS:
-                        known[p] = ids
-                out.append(ids)
-            return b"".join(out)
+        return self.many([text])[0]
 
 
 @lru_cache(maxsize=4)
@@ -129,8 +145,9 @@ def pieces(docs: DataFrame, vocabulary: str, ranks: str | None = None, pattern:
             for at in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(at, BATCH)
                 rows = []
-                for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    ids = (encode(t) if t else b"") + END.to_bytes(4, "little")
+                texts = [t or "" for t in batch.column(1).to_pylist()]
+                for doc, ids in zip(batch.column(0).to_pylist(), encode.many(texts)):
+                    ids += END.to_bytes(4, "little")
                     total, start = len(ids) // 4, 0
                     for length, k in cut(total, capacity):
                         own = ids[4 * start:4 * (start + length)]
