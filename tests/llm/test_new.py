@@ -414,3 +414,45 @@ def test_powers_equal_steps():
         _, cost, end = minplus.unroll(syms, counts, minplus.AT_END, minplus.NOTHING, True)
         assert end in (minplus.NOTHING, minplus.PAIR)
         assert cost == minplus.apply(steps, minplus.to_end(True, minplus.AT_END))[minplus.NOTHING]
+
+
+# ---- harmonic packing
+
+def test_little_padding_at_every_length():
+    from rostrum.llm.packing import class_counts, cut
+    counts = class_counts()
+    for n in range(1, 1025):
+        parts = cut(n)
+        assert sum(length for length, _ in parts) == n
+        assert all(counts[k] * length <= 1024 for length, k in parts)
+        shares = sum(1024 / counts[k] for _, k in parts)
+        assert 1 - n / shares <= 1 / 32
+
+
+def test_packed_ids_equal_the_tokenizers(spark, small):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {r.doc_id: tokenizer.encode(r.text or "", add_special_tokens=False).ids + [0] for r in small("documents").collect()}
+    got = llm.queries()["op9_packing"](spark, SMALL).collect()
+    for r in got:
+        own = np.array(ids[r.doc_id][r.start:r.start + r.length], "<u4").tobytes()
+        assert (len(own) // 4, zlib.crc32(own), r.doc_tokens) == (r.length, r.ids_crc32, len(ids[r.doc_id]))
+    assert sum(r.length for r in got) == sum(map(len, ids.values()))
+
+
+def test_short_documents_are_packed_with_little_padding(spark):
+    from rostrum.llm.packing import CAPACITY, pack
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a "), (F.col("id") % 70).cast("int")).alias("text"))
+    from rostrum.llm.bound import document_pieces
+    packed = pack(document_pieces(df))
+    used, n = packed.agg(F.sum("length"), F.countDistinct("sequence_id")).first()
+    assert 1 - used / (n * CAPACITY) < 0.05
+
+
+def test_byte_ids_of_odd_texts(small):
+    from rostrum.llm.packing import ids_of
+    ids = ids_of(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                 public_tokenizers.PATTERN)
+    random.seed(5)
+    texts = [t or "" for t in ODD] + ["".join(random.choice("ab c\n\n  \t'sé.!?漢\x85\xa0 1 9<|") for _ in range(200)) for _ in range(500)]
+    want = ids.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    assert [np.frombuffer(b, "<u4").tolist() for b in ids.many(texts)] == [e.ids for e in want]
