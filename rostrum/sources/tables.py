@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rostrum.functions.ratings import parse_ratings
 from rostrum.functions.vectors import parse_vector
+from rostrum.sources.csv_records import fields_by_name
 
 TALK_SCHEMA = (
     "url string, filename string, main_speaker string, speaker_occupation string, "
@@ -29,23 +28,15 @@ MISSING_WORDS = (
 def _read_csv(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
     """CSV by column name, with quoted line breaks and doubled quotes.
 
-    Every column comes in as text first, so that the words for "missing" can be
-    told from data before the cast to the schema's type. Files are read group by
-    group of equal headers, so a column keeps its name wherever it stands. A field
-    that is no number of its column's type becomes NULL; `strict` stops at it.
+    Files of any size are read by many tasks, and each by its own header, so a column keeps
+    its name wherever it stands. Every column comes in as text first, so that the words for
+    "missing" can be told from data before the cast to the schema's type. A field that is no
+    number of its column's type becomes NULL; `strict` stops at it.
     """
-    def read(paths: list[str]) -> DataFrame:
-        return (
-            spark.read.option("header", True).option("multiLine", True)
-            .option("quote", '"').option("escape", '"').option("inferSchema", False)
-            .csv(paths)
-        )
-
     wanted = spark.createDataFrame([], schema).schema
-    parts = [read(files).select(*[
+    return fields_by_name(spark, path, wanted.names).select(*[
         csv_value(F.col(f"`{f.name}`"), f.dataType.simpleString(), strict).alias(f.name) for f in wanted
-    ]) for files in _by_header(spark, path)]
-    return reduce(DataFrame.unionByName, parts)
+    ])
 
 
 def csv_value(text: Column, kind: str, strict: bool = False) -> Column:
@@ -65,21 +56,6 @@ def csv_value(text: Column, kind: str, strict: bool = False) -> Column:
     return value
 
 
-def _by_header(spark: SparkSession, path: str) -> list[list[str]]:
-    """Files of equal first lines. One short row per file reaches the driver."""
-    heads = (
-        spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value"),
-                                     F.col("_metadata.file_block_start").alias("at"))
-        .where(F.col("at") == 0)
-        .withColumn("row", F.monotonically_increasing_id())
-        .groupBy("file").agg(F.min_by("value", "row").alias("head")).collect()
-    )
-    groups: dict[str, list[str]] = {}
-    for r in heads:
-        groups.setdefault(r["head"].strip("\ufeff\r"), []).append(r["file"])
-    return list(groups.values()) or [[path]]
-
-
 def _format(path: str, format: str | None) -> str:
     return format or ("csv" if path.rstrip("/").endswith(".csv") else "parquet")
 
