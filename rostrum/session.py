@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import re
 import tempfile
 import uuid
@@ -44,9 +42,28 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="rostrum-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
+        until_exit(spark, folder)
     return folder.rstrip("/")
 
 
+def landing(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder. Call `until_exit` once something is there."""
+    return f"{shared_folder(spark)}/rostrum/{name}-{uuid.uuid4().hex}"
+
+
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path as it takes it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def until_exit(spark: SparkSession, path: str) -> None:
+    """Have the JVM remove what is at `path` when it ends, however the program ended the
+    session before."""
+    system, where = file_system(spark, path)
+    system.deleteOnExit(where)
+
+
 def durable(df: DataFrame, name: str = "table") -> DataFrame:
     """Write `df` as Parquet to the shared folder and read it back from there.
 
@@ -54,34 +71,18 @@ def durable(df: DataFrame, name: str = "table") -> DataFrame:
     recomputation, and readers take only the columns they need. The table goes when
     the program ends, or with `discard`.
     """
-    path = f"{shared_folder(df.sparkSession)}/rostrum/{name}-{uuid.uuid4().hex}"
+    path = landing(df.sparkSession, name)
     df.write.parquet(path)
+    until_exit(df.sparkSession, path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    _landed[path] = df.sparkSession
     out._landed_at = path
     return out
 
 
-_landed: dict[str, SparkSession] = {}
-
-
-def _remove(path: str) -> None:
-    spark = _landed.pop(path, None)
-    if spark is None or spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
-        return
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def discard(*tables: DataFrame) -> None:
     """Remove tables of `durable` that nothing reads any more."""
     for df in tables:
-        if getattr(df, "_landed_at", None):
-            _remove(df._landed_at)
-
-
-@atexit.register
-def _sweep() -> None:
-    for path in list(_landed):
-        with contextlib.suppress(Exception):  # the JVM may be gone already
-            _remove(path)
+        path = getattr(df, "_landed_at", None)
+        if path:
+            system, where = file_system(df.sparkSession, path)
+            system.delete(where, True)

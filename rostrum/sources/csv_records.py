@@ -208,7 +208,7 @@ def fields_by_name(spark: SparkSession, path: str | Sequence[str], names: Sequen
     end are NULL. A file without one of the columns stops the query.
     """
     @F.udf("struct<width: int, places: array<int>>")
-    def places(header: str) -> tuple[int, list[int]]:  # called once per file
+    def places(header):  # called once per file
         own = header_names(header)
         return len(own), [own.index(n) if n in own else -1 for n in names]
 

@@ -21,8 +21,16 @@ def first_value(document: Column | str) -> Column:
 
 
 def first_predictions(document: Column | str) -> Column:
-    """The prediction list under the document's first key."""
-    return F.from_json(first_value(document), f"array<{PREDICTION}>")
+    """The prediction list under the document's first key.
+
+    Where every key holds a list, or there is only one key, the document is parsed once. A
+    key that holds something else makes that parse NULL, and the first key's text is taken
+    out and parsed by itself.
+    """
+    lists = F.from_json(col(document), f"map<string,array<{PREDICTION}>>")
+    return F.coalesce(
+        F.get(F.map_values(lists), F.lit(0)), F.from_json(first_value(document), f"array<{PREDICTION}>")
+    )
 
 
 def _typed(predictions: str) -> Column:

@@ -116,3 +116,65 @@ def test_principal_components(spark):
     for i in range(2):
         axis = axes[i] * np.sign(axes[i][np.abs(axes[i]).argmax()])
         np.testing.assert_allclose([r[f"pc{i + 1}"] for r in out], z @ axis, atol=1e-8)
+
+
+def grid_sets():
+    return {"Posteriors": ("x_embedding",), "Gender": ("x_embedding",), "Baseline": ("x_embedding",)}
+
+
+FEW = {"forest": {"trees": 3, "depth": 3}}
+
+
+def test_a_stopped_grid_fits_only_the_rest(spark, planted, tmp_path, monkeypatch):
+    from rostrum.plans import experiment as plan
+    fitted, fit = [], plan.fold_predictions
+
+    def stops(table, kind, vectors, labels, fold, **options):
+        fitted.append(fold)
+        if len(fitted) > 3:
+            raise RuntimeError("the cluster went away")
+        return fit(table, kind, vectors, labels, fold, **options)
+
+    keep, table = str(tmp_path / "grid"), planted.select("id", "x_embedding", "y_cat")
+    arguments = dict(folds=3, threads=1, options=FEW, keep=keep)
+    monkeypatch.setattr(plan, "fold_predictions", stops)
+    first, failed = cross_validate(table, "id", {"a/b c": "y_cat"}, grid_sets(), **arguments)
+    assert [f[:2] for f in failed] == [("a/b c", "Gender")] and "went away" in failed[0][2]
+    assert plan.ledger(spark, keep).count() == 3 + 3  # one forest and the baseline
+
+    again = []
+    monkeypatch.setattr(plan, "fold_predictions", lambda *a, **o: again.append(a[4]) or fit(*a, **o))
+    out, failed = cross_validate(table.repartition(3), "id", {"a/b c": "y_cat"}, grid_sets(), **arguments)
+    assert failed == [] and again == [0, 1, 2]
+    assert out.count() == 3 * 240
+    assert sorted((r["type"], r["fold"]) for r in plan.ledger(spark, keep).collect()) == sorted(
+        (t, k) for t in grid_sets() for k in range(3))
+    # Other rows or settings are another grid.
+    again.clear()
+    cross_validate(table, "id", {"a/b c": "y_cat"}, grid_sets(), **(arguments | {"options": {"forest": {"trees": 2, "depth": 2}}}))
+    assert len(again) == 6
+    # What was finished is taken as it is: a forest drawn again would differ.
+    before, after = set(map(tuple, first.collect())), set(map(tuple, out.collect()))
+    assert before < after and {r[1] for r in after - before} == {"Gender"}
+
+
+def test_a_run_that_hangs_is_stopped(spark, planted, monkeypatch):
+    from rostrum.plans import experiment as plan
+    fit = plan.fold_predictions
+
+    @F.udf("double")
+    def slow(x):
+        import time
+        time.sleep(60)
+        return x
+
+    def hangs(table, kind, vectors, labels, fold, **options):
+        out = fit(table, kind, vectors, labels, fold, **options)
+        return out.withColumn("low", slow("low")) if vectors == ("x_other",) else out
+
+    monkeypatch.setattr(plan, "fold_predictions", hangs)
+    table = planted.withColumn("x_other", F.col("x_embedding"))
+    out, failed = cross_validate(table, "id", {"t": "y_cat"}, {"Gender": ("x_other",), "Posteriors": ("x_embedding",)},
+                                 folds=2, options=FEW, limit=15)
+    assert [f[:2] for f in failed] == [("t", "Gender")] and "stopped after 15 seconds" in failed[0][2]
+    assert {r["type"] for r in out.select("type").distinct().collect()} == {"Posteriors"}

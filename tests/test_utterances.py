@@ -117,3 +117,17 @@ def test_results_do_not_depend_on_row_order(spark):
     assert one.orderBy(*key).collect() == other.orderBy(*key).collect()
     stats = describe(U.label_values(one, "filename"), ["filename", "measure"], "value")
     assert stats.where("filename = 'b' and measure = 'emotion_happy'").first()["n"] == 3
+
+
+def test_documents_with_other_keys(spark):
+    rows = {
+        "one": '{"a":[{"id":1}]}', "later": '{"a":[{"id":1}],"v":"1.2"}', "before": '{"v":"1.2","a":[{"id":1}]}',
+        "two": '{"b":[{"id":2}],"a":[{"id":3},{"id":4}]}', "null": '{"a":null,"b":[{"id":1}]}', "empty": '{"a":[]}',
+        "odd": '{"a":[1,{"id":2}]}', "cut": '{"a":[{"id":1}]', "none": "{}", "list": '[{"id":1}]', "nested": '{"a":[{"id":5}],"v":{"x":[1]}}',
+    }
+    df = spark.createDataFrame(list(rows.items()), "filename string, document string")
+    got = {}
+    for r in explode_predictions(df, "filename", "document").collect():
+        got.setdefault(r["filename"], []).append(r["id"] if r["pos"] is not None else "bad")
+    assert got == {"one": ["1"], "later": ["1"], "before": ["bad"], "two": ["2"], "null": ["bad"], "odd": ["bad"],
+                   "cut": ["bad"], "none": ["bad"], "list": ["bad"], "nested": ["5"]}
