@@ -5,6 +5,6 @@ reads its tables whole.
 """
 
 from rostrum.bindings import (  # noqa: F401
-    cohorts, features, learning, metrics, numbers, survey, targets, text,
+    cohorts, features, files, learning, metrics, numbers, reports, survey, targets, text,
 )
 from rostrum.bindings.registry import oracle_sql, queries  # noqa: F401

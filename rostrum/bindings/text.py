@@ -10,6 +10,7 @@ from rostrum.operators.positions import add_appearance_code, appearance_codes
 from rostrum.operators.summaries import join_on_text, unmatched
 from rostrum.plans.analysis import transcript_inputs as inputs
 from rostrum.sources.tables import csv_value
+from rostrum.vocab import MAX_TOKENS
 
 # What Java's Unicode blank class and the four separators hold, for RE2.
 SQL_BLANKS = (
@@ -37,9 +38,9 @@ def clean_text(spark: SparkSession, folder: str) -> DataFrame:
 with cleaned as (
   select doc_id, regexp_replace(text, '\(.*?\)', '', 'g') as text from documents
 )
-select doc_id, md5(array_to_string({SQL_WORDS}[1:300], ' ')) as digest from cleaned where text <> ''""")
+select doc_id, md5(array_to_string({SQL_WORDS}[1:{MAX_TOKENS}], ' ')) as digest from cleaned where text <> ''""")
 def transcript_inputs(spark: SparkSession, folder: str) -> DataFrame:
-    texts = inputs(table(spark, folder, "documents"), "doc_id", "text", 300)
+    texts = inputs(table(spark, folder, "documents"), "doc_id", "text")
     return texts.select("doc_id", F.md5("text").alias("digest"))
 
 

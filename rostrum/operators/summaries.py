@@ -38,6 +38,39 @@ def histogram(df: DataFrame, value: str, bins: int, by: Sequence[str] = ()) -> D
     )
 
 
+def histograms(df: DataFrame, columns: Sequence[str], bins: int, by: Sequence[str] = ()) -> DataFrame:
+    """`histogram` of several columns, under `name`. One pass finds the ends of all columns and
+    one counts; how many columns there are changes neither."""
+    values = [finite(f"`{c}`").cast("double") for c in columns]
+    ends = df.agg(F.array(*[
+        F.struct(F.min(v).alias("lo"), F.max(v).alias("hi")) for v in values
+    ]).alias("ends")).scalar()
+    cells = F.array(*[F.struct(F.lit(c).alias("name"), v.alias("v")) for c, v in zip(columns, values)])
+    long = df.select(*by, F.inline(F.arrays_zip(cells, ends)).alias("cell", "ends")).select(
+        *by, "cell.*", "ends.*"
+    ).where(F.col("v").isNotNull())
+    lo, hi, width = F.col("lo"), F.col("hi"), F.col("hi") - F.col("lo")
+    place = F.floor(F.try_divide(F.col("v") - lo, width) * bins)
+    bin_ = F.when(hi == lo, 0).otherwise(F.least(place, F.lit(bins - 1))).cast("bigint")
+    counted = long.groupBy(*by, "name", "lo", "hi", bin_.alias("bin")).agg(F.count("*").alias("n"))
+    return counted.select(
+        *by, "name", "bin", (lo + width * F.col("bin") / bins).alias("bin_start"),
+        (lo + width * (F.col("bin") + 1) / bins).alias("bin_end"), "n",
+    )
+
+
+def tops_contain(df: DataFrame, ratings: str, names: Sequence[str], k: int) -> DataFrame:
+    """For each name, under `rating`, the rows whose k largest ratings include it and the others,
+    counted in one pass. A side without rows does not appear."""
+    top = df.select(top_names(ratings, k).alias("top"))
+    holds = [F.coalesce(F.array_contains("top", n), F.lit(False)) for n in names]
+    counts = top.agg(F.count("*").alias("all"), *[F.count_if(h).alias(f"n{i}") for i, h in enumerate(holds)])
+    sides = [F.struct(F.lit(name).alias("rating"), F.lit(side).alias("side"), n.alias("n"))
+             for i, name in enumerate(names)
+             for side, n in (("positive", F.col(f"n{i}")), ("negative", F.col("all") - F.col(f"n{i}")))]
+    return counts.select(F.inline(F.array(*sides))).where("n > 0")
+
+
 def top_contains(df: DataFrame, ratings: str, name: str, k: int) -> DataFrame:
     """Rows whose k largest ratings include `name`, against those without."""
     holds = F.array_contains(top_names(ratings, k), name)

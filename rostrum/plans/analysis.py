@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -14,7 +13,8 @@ from rostrum.functions.text import clean_transcript, fill_text, truncate_tokens,
 from rostrum.operators.correlate import corr_matrix, corr_rank, corr_table
 from rostrum.operators.positions import add_appearance_code
 from rostrum.operators.models import principal_components
-from rostrum.operators.summaries import cohorts, histogram, top_contains, value_counts
+from rostrum.operators.summaries import cohorts, histograms, tops_contain, value_counts
+from rostrum.session import durable
 from rostrum.vocab import (
     AGE_BANDS, COHORT_SIZE, CORRELATION_THRESHOLD, MAX_TOKENS, MODEL_COLUMNS, POPULARITY_TARGETS, RATINGS,
     SURVEY_COLUMNS,
@@ -93,8 +93,7 @@ def transcript_inputs(
 
 def target_histograms(targets: DataFrame, columns: Sequence[str], bins: int = 50) -> DataFrame:
     """Histograms of several columns, one below the other, under `target`."""
-    parts = [histogram(targets, c, bins).withColumn("target", F.lit(c)) for c in columns]
-    return reduce(DataFrame.unionByName, parts)
+    return histograms(targets, columns, bins).withColumnRenamed("name", "target")
 
 
 def level_counts(targets: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -108,8 +107,7 @@ def level_counts(targets: DataFrame, columns: Sequence[str]) -> DataFrame:
 def rating_tops(talks: DataFrame, names: Sequence[str] = RATINGS, ratings: str = "ratings", k: int = 5
                 ) -> DataFrame:
     """For each rating, the talks with it among their k largest and those without."""
-    parts = [top_contains(talks, ratings, n, k).withColumn("rating", F.lit(n)) for n in names]
-    return reduce(DataFrame.unionByName, parts)
+    return tops_contain(talks, ratings, names, k)
 
 
 def cohort_histograms(
@@ -117,9 +115,9 @@ def cohort_histograms(
     n: int = COHORT_SIZE,
 ) -> DataFrame:
     """Histograms of features in the top and bottom talks, over the bins of both."""
-    ends = cohorts(features.select(key, metric, *columns), metric, key, n)
-    parts = [histogram(ends, c, bins, ["rank"]).withColumn("feature", F.lit(c)) for c in columns]
-    return reduce(DataFrame.unionByName, parts)
+    # At most 2n rows, read for their ends and for their counts.
+    ends = durable(cohorts(features.select(key, metric, *columns), metric, key, n), "ends")
+    return histograms(ends, columns, bins, ["rank"]).withColumnRenamed("name", "feature")
 
 
 def cohort_projection(

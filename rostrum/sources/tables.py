@@ -125,4 +125,6 @@ def export_csv(df: DataFrame, path: str) -> None:
     df.select(*[
         (F.to_json(f"`{name}`").alias(name) if kind.startswith(nested) else F.col(f"`{name}`"))
         for name, kind in df.dtypes
-    ]).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    ]).write.mode("overwrite").option("header", True).option("escape", '"').option(
+        "ignoreLeadingWhiteSpace", False
+    ).option("ignoreTrailingWhiteSpace", False).csv(path)
