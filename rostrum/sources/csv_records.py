@@ -15,6 +15,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rostrum.session import durable
@@ -105,7 +106,10 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if now is None or place != now.place:
                 out += [now.row()] if now else []
                 now = _Split(place)
-            for line in part.column(2).to_pylist():
+            lines = part.column(2)
+            if place[1]:
+                lines = lines.filter(pc.not_equal(lines, ""))
+            for line in lines.to_pylist():
                 now.add(line)
     yield _rows(out + ([now.row()] if now else []), ENDS)
 
@@ -187,12 +191,14 @@ def records(spark: SparkSession, path: str | Sequence[str]) -> tuple[DataFrame,
         dealt = lines.select("*", F.monotonically_increasing_id().alias("line")).join(
             begun.drop("header"), ["file", "at"]
         ).repartition("file", "at").sortWithinPartitions("file", "at", "line")
-    found = dealt.select("file", "at", "value", "state").mapInArrow(_pieces, PIECES)
+    # Read for the whole records and for the cut ones.
+    found = durable(dealt.select("file", "at", "value", "state").mapInArrow(_pieces, PIECES), "records")
     cut = found.where(F.col("kind") != WHOLE).repartition("file").sortWithinPartitions(
         "file", "at", "kind"
     ).mapInArrow(_joined, PIECES)
     every = found.where(F.col("kind") == WHOLE).unionByName(cut)
-    bare = F.regexp_replace("record", "\r$", "")
+    ended = F.endswith("record", F.lit("\r"))
+    bare = F.when(ended, F.expr("left(record, char_length(record) - 1)")).otherwise(F.col("record"))
     return (every.select("file", bare.alias("record")).where(F.col("record") != ""),
             begun.where(F.col("header").isNotNull()).select("file", "header"))
 
@@ -222,10 +228,14 @@ def fields_by_name(spark: SparkSession, path: str | Sequence[str], names: Sequen
     if not files:
         return spark.createDataFrame([], ", ".join(f"`{n}` string" for n in names))
     schema = ", ".join(f"c{i} string" for i in range(width))
-    parsed = F.from_csv("record", schema, {"quote": '"', "escape": '"', "maxCharsPerColumn": "-1"})
+    # Every record is parsed by itself: the reader's usual buffer of a million letters would be
+    # made anew each time.
+    options = {"quote": '"', "escape": '"', "maxCharsPerColumn": "-1", "inputBufferSize": "16384"}
+    parsed = F.from_csv("record", schema, options)
     known = F.broadcast(headers) if files <= MOST_SENT else headers
-    cells = rows.join(known, "file").select(parsed.alias("r"), "places").select(
-        F.array(*[F.col(f"r.c{i}") for i in range(width)]).alias("cells"), "places"
+    # As a generator, so that a record is parsed once and not once per column.
+    cells = rows.join(known, "file").select("places", F.inline(F.array(parsed))).select(
+        F.array(*[F.col(f"c{i}") for i in range(width)]).alias("cells"), "places"
     )
     return cells.select(*[
         F.get("cells", F.get("places", F.lit(i))).alias(n) for i, n in enumerate(names)
