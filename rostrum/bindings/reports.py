@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rostrum.bindings.registry import query, rounded, table
 from rostrum.bindings.targets import EVENT_TYPES, SQL_TOP, user_talks
+from rostrum.operators.correlate import corr_matrix
+from rostrum.operators.order_stats import described_sketches, merge_sketches, quantile_sketches
+from rostrum.operators.summaries import most_common
 from rostrum.plans import analysis
 
 PRICES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber")
@@ -64,3 +67,43 @@ def cohort_projection(spark: SparkSession, folder: str) -> DataFrame:
     )
     out = analysis.cohort_projection(parts, "p_retailprice", "p_partkey", ["size", "number"])
     return out.withColumns({c: rounded(F.abs(c)) for c in ("pc1", "pc2")})
+
+
+@query("""
+select l_partkey, count(*) as n from lineitem group by 1 order by n desc, l_partkey limit 100""")
+def most_common_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """The 100 parts ordered most often, from a sketch's candidates."""
+    return most_common(table(spark, folder, "lineitem"), "l_partkey", 100)
+
+
+WIDTH, TILE = 64, 16
+
+
+@query(f"""
+select 'd' || i as a, 'd' || j as b, count(*) as n, round(corr(embedding[i + 1]::double, embedding[j + 1]::double), 6) as r
+from embeddings, range({WIDTH}) as one(i), range({WIDTH}) as two(j) where i < j group by i, j""")
+def corr_tiles(spark: SparkSession, folder: str) -> DataFrame:
+    """All pairs of the vectors' 64 entries, in blocks of 16 columns."""
+    names = [f"d{i}" for i in range(WIDTH)]
+    wide = table(spark, folder, "embeddings").select(
+        *[F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)])
+    return corr_matrix(wide, names, TILE).withColumn("r", rounded("r"))
+
+
+@query("""
+with places as (
+  select user_id, value, row_number() over (partition by user_id order by value) as place,
+         count(*) over (partition by user_id) as n, avg(value) over (partition by user_id) as mean,
+         stddev_pop(value) over (partition by user_id) as std
+  from events
+)
+select user_id, any_value(n) as n, round(any_value(mean), 9) as mean, round(any_value(std), 9) as std,
+       min(value) filter (where place >= 0.1 * n) as p10, min(value) filter (where place >= 0.9 * n) as p90
+from places group by 1""")
+def merged_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics of users from sketches of their events by type, merged. A sketch keeps every
+    value of so few, so the percentiles are those of the rows."""
+    parts = quantile_sketches(table(spark, folder, "events"), ["user_id", "event_type"], "value").drop("event_type")
+    out = described_sketches(merge_sketches(parts, ["user_id"]), ["user_id"])
+    # Means of 64 cents end in a 5 at the seventh digit.
+    return out.withColumns({c: rounded(c, 9) for c in ("mean", "std")})

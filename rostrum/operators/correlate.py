@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from itertools import combinations, product
 
 import numpy as np
@@ -11,25 +12,19 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from rostrum.functions.numeric import mask_small
 
+TILE = 256  # columns of a block; a task holds four matrices of two blocks
+
 PARTIAL = (
     "i int, j int, n double, li double, lj double, mi double, mj double, "
     "cii double, cjj double, cij double"
 )
 
 
-def correlations(
-    df: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[str, str]]
-) -> DataFrame:
-    """`(a, b, n, r)` per pair, over the rows where both values are finite.
-
-    Each task turns its rows into sums over all pairs (four matrix products per
-    Arrow batch) and passes on one row per pair, so the shuffle holds
-    tasks x pairs rows however large the table is. Sums are taken around the
-    task's own level and merged around the common mean, which keeps far-off means
-    from drowning the deviations. A constant column has no coefficient.
-    """
-    columns = list(columns)
-    at = {c: k for k, c in enumerate(columns)}
+def _partial(df: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[int, int]]) -> DataFrame:
+    """Sums per task and pair, reading only the columns of these pairs."""
+    used = sorted({i for p in pairs for i in p})
+    at = {i: k for k, i in enumerate(used)}
+    numbers = np.array(used, "int32")
     left = np.array([at[a] for a, _ in pairs])
     right = np.array([at[b] for _, b in pairs])
 
@@ -54,7 +49,7 @@ def correlations(
         a, b = sx[left, right], sx[right, left]
         with np.errstate(all="ignore"):
             out = pd.DataFrame({
-                "i": left.astype("int32"), "j": right.astype("int32"), "n": count,
+                "i": numbers[left], "j": numbers[right], "n": count,
                 "li": level[left], "lj": level[right], "mi": a / count, "mj": b / count,
                 "cii": sxx[left, right] - a * a / count,
                 "cjj": sxx[right, left] - b * b / count,
@@ -62,8 +57,32 @@ def correlations(
             })
         yield out[count > 0]
 
-    rows = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{k}") for c, k in at.items()])
-    partial = rows.mapInPandas(partial_sums, PARTIAL)
+    rows = df.select(*[F.col(f"`{columns[i]}`").cast("double").alias(f"c{k}") for i, k in at.items()])
+    return rows.mapInPandas(partial_sums, PARTIAL)
+
+
+def correlations(
+    df: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[str, str]], tile: int = TILE
+) -> DataFrame:
+    """`(a, b, n, r)` per pair, over the rows where both values are finite.
+
+    Each task turns its rows into sums over all pairs (four matrix products per
+    Arrow batch) and passes on one row per pair, so the shuffle holds
+    tasks x pairs rows however large the table is. Sums are taken around the
+    task's own level and merged around the common mean, which keeps far-off means
+    from drowning the deviations. A constant column has no coefficient.
+
+    Pairs of more than `tile` columns are worked on block by block of columns: a task then
+    holds matrices of two blocks, whatever the number of columns, and reads only those.
+    """
+    columns = list(columns)
+    at = {c: k for k, c in enumerate(columns)}
+    blocks: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for a, b in pairs:
+        i, j = at[a], at[b]
+        key = tuple(sorted((i // tile, j // tile))) if len(columns) > tile else (0, 0)
+        blocks.setdefault(key, []).append((i, j))
+    partial = reduce(DataFrame.unionAll, [_partial(df, columns, block) for block in blocks.values()])
     pair = W.partitionBy("i", "j")
     n, di, dj = F.col("n"), F.col("mi") - F.col("gi"), F.col("mj") - F.col("gj")
     total = F.sum("n").over(pair)
@@ -98,9 +117,9 @@ def correlations(
     )
 
 
-def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def corr_matrix(df: DataFrame, columns: Sequence[str], tile: int = TILE) -> DataFrame:
     """Every unordered pair of columns once."""
-    return correlations(df, columns, list(combinations(columns, 2)))
+    return correlations(df, columns, list(combinations(columns, 2)), tile)
 
 
 def corr_long(df: DataFrame, left: Sequence[str], right: Sequence[str]) -> DataFrame:

@@ -152,3 +152,44 @@ def _unknown(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
 def same_key(k: str) -> Column:
     # Null-safe, so that a NULL group counts as a group.
     return F.col(k).eqNullSafe(F.col(f"_{k}"))
+
+
+SKETCH_K = 800  # a rank is off by about 0.2 % of a group's rows
+
+
+def quantile_sketches(df: DataFrame, keys: Sequence[str], value: str, k: int = SKETCH_K) -> DataFrame:
+    """`(keys, n, mean, dev, sketch)`: what a group's percentiles can be told from later, in some
+    kilobytes. Written beside a day's predictions, it spares reading them again when the next
+    day's come. A NaN or an infinity counts in `spoilt`."""
+    v = finite(F.col(value).cast("double"))
+    return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(
+        F.count("*").alias("n"), F.avg(v).alias("mean"), (F.var_pop(v) * F.count(v)).alias("dev"),
+        F.count_if(v.isNull()).alias("spoilt"), F.kll_sketch_agg_double(v, F.lit(k)).alias("sketch"),
+    )
+
+
+def merge_sketches(sketches: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Sketches of parts as sketches of the whole: the rows of `quantile_sketches`, one a group."""
+    keys = list(keys)
+    whole = sketches.groupBy(*keys).agg((F.sum(F.col("n") * F.col("mean")) / F.sum(
+        F.when(F.col("mean").isNotNull(), F.col("n")))).alias("_mean"))
+    both = sketches.join(
+        whole.select(*[F.col(c).alias(f"_{c}") for c in keys], "_mean"), [same_key(c) for c in keys]
+    )
+    apart = F.col("mean") - F.col("_mean")
+    return both.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.first("_mean").alias("mean"),
+        F.sum(F.col("dev") + F.col("n") * apart * apart).alias("dev"), F.sum("spoilt").alias("spoilt"),
+        F.kll_merge_agg_double("sketch").alias("sketch"),
+    )
+
+
+def described_sketches(sketches: DataFrame, keys: Sequence[str], quantiles: Sequence[float] = (0.1, 0.9)) -> DataFrame:
+    """The columns of `describe`; percentiles are values whose rank is near the one asked for."""
+    sound = F.col("spoilt") == 0
+    return sketches.select(
+        *keys, "n", F.when(sound, F.col("mean")).alias("mean"),
+        F.when(sound, F.sqrt(F.col("dev") / F.col("n"))).alias("std"),
+        *[F.when(sound, F.kll_sketch_get_quantile_double("sketch", F.lit(float(q)))).alias(f"p{round(q * 100)}")
+          for q in quantiles],
+    )

@@ -17,6 +17,33 @@ def value_counts(df: DataFrame, *columns: str) -> DataFrame:
     return df.groupBy(*columns).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *columns)
 
 
+MOST_TRACKED = 1 << 14  # values a sketch keeps
+
+
+def most_common(df: DataFrame, column: str, k: int, tracked: int = MOST_TRACKED) -> DataFrame:
+    """The k most frequent values, as `value_counts` gives them, NULL among them.
+
+    A sketch of bounded size names candidates and a second pass counts them. What the sketch
+    leaves out has fewer rows than its error, or than the last candidate's estimate; where the
+    k-th count is not above both, the values are too even for it and all are counted.
+    """
+    c = F.col(f"`{column}`")
+    candidates = min(4 * k, tracked)
+    told = df.agg(
+        F.count("*").alias("n"), F.expr(f"approx_top_k(`{column}`, {candidates}, {tracked})").alias("top")
+    ).first()  # as many values as there are candidates
+    found = [r["item"] for r in told["top"] or []]
+    rows = df.where(c.isin(found) | c.isNull()) if found else df.where(c.isNull())
+    counted = value_counts(rows.select(c.alias(column)), column).limit(k)
+    everything = len(found) < candidates
+    least = max(told["top"][-1]["count"] if found else 0, 3.5 * told["n"] / tracked)
+    if not everything or 3.5 * told["n"] / tracked >= 1:
+        counts = [r["n"] for r in counted.collect()]  # k rows
+        if len(counts) < k or counts[-1] <= least:
+            return value_counts(df.select(c.alias(column)), column).limit(k)
+    return counted
+
+
 def histogram(df: DataFrame, value: str, bins: int, by: Sequence[str] = ()) -> DataFrame:
     """Rows per equal-width bin (0-based) between the column's least and greatest.
 

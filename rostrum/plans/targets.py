@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from rostrum.functions import ratings as R
 from rostrum.functions.numeric import band, epoch_year, log, log_offset, ratio
@@ -21,15 +21,27 @@ def with_years(df: DataFrame) -> DataFrame:
     })
 
 
-def select_talks(df: DataFrame, years: tuple[int, int] = YEARS, speakers: int = 1) -> DataFrame:
+def select_talks(df: DataFrame, years: tuple[int, int] = YEARS, speakers: int = 1,
+                 counted: Observation | None = None) -> DataFrame:
     """Talks filmed in the years given (UTC), by that many speakers. The test is on the raw
-    epoch column, so that it reaches the scan."""
+    epoch column, so that it reaches the scan.
+
+    `counted` tells, once a job has run on the result, how many talks were read, selected, and
+    left out for their year, else for their speakers. It has to see the talks left out, so the
+    scan then reads them.
+    """
     first, last = (
         int(datetime(y, 1, 1, tzinfo=timezone.utc).timestamp()) for y in (years[0], years[1] + 1)
     )
-    return df.where(
-        (F.col("film_date") >= first) & (F.col("film_date") < last) & (F.col("num_speaker") == speakers)
-    )
+    in_years = (F.col("film_date") >= first) & (F.col("film_date") < last)
+    by_few = F.col("num_speaker") == speakers
+    if counted is not None:
+        inside, few = (F.coalesce(c, F.lit(False)) for c in (in_years, by_few))
+        df = df.observe(
+            counted, F.count(F.lit(1)).alias("read"), F.count_if(inside & few).alias("selected"),
+            F.count_if(~inside).alias("other_year"), F.count_if(inside & ~few).alias("other_speakers"),
+        )
+    return df.where(in_years & by_few)
 
 
 def popularity_columns(df: DataFrame) -> DataFrame:
@@ -78,8 +90,10 @@ def rating_targets(
     })
 
 
-def popularity_targets(talks: DataFrame, strict: bool = False) -> DataFrame:
+def popularity_targets(
+    talks: DataFrame, strict: bool = False, counted: Observation | None = None
+) -> DataFrame:
     """Talk table to target table: years, selection, measures, levels."""
-    df = select_talks(with_years(talks))
+    df = select_talks(with_years(talks), counted=counted)
     df = df.withColumn("speaker_occupation", fill_text("speaker_occupation"))
     return rating_targets(df, strict=strict)

@@ -214,3 +214,77 @@ def test_drop_incomplete(spark):
     assert len(S.drop_incomplete(df).collect()) == 2
     assert len(S.drop_incomplete(df, csv_parity=True).collect()) == 1
     assert len(S.drop_incomplete(df, columns=["s"]).collect()) == 5
+
+
+def test_tiles_equal_one_matrix(spark):
+    rng = np.random.default_rng(5)
+    data = pd.DataFrame(rng.normal(size=(300, 90)) @ rng.normal(size=(90, 90)), columns=[f"c{i}" for i in range(90)])
+    data.iloc[::7, 3] = np.nan
+    df = spark.createDataFrame(data).repartition(3)
+    want = data.corr()
+    rows = corr_matrix(df, list(data), tile=20).collect()
+    assert len(rows) == 90 * 89 // 2
+    for r in rows:
+        assert r["r"] == pytest.approx(want.loc[r["a"], r["b"]], abs=1e-9)
+
+
+def test_many_columns_in_tiles(spark):
+    """Pairs out of 2,000 columns; a task holds matrices of two blocks only."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(50, 2000))
+    df = spark.createDataFrame([(r.tolist(),) for r in x], "x array<double>").select(
+        *[F.get("x", F.lit(i)).alias(f"c{i}") for i in range(2000)])
+    names = [f"c{i}" for i in rng.choice(2000, 12, replace=False)]
+    from rostrum.operators.correlate import correlations
+    pairs = [(a, b) for a in names for b in names if a < b]
+    rows = correlations(df, df.columns, pairs).collect()
+    assert len(rows) == len(pairs)
+    for r in rows:
+        i, j = int(r["a"][1:]), int(r["b"][1:])
+        assert r["r"] == pytest.approx(np.corrcoef(x[:, i], x[:, j])[0, 1], abs=1e-9)
+
+
+def test_sketched_percentiles_merge(spark):
+    from rostrum.operators.order_stats import described_sketches, merge_sketches, quantile_sketches
+    rng = np.random.default_rng(7)
+    groups = {"hot": rng.lognormal(size=200_000), "few": np.array([1.0, 2.0, 4.0]), None: rng.normal(size=500)}
+    df = spark.createDataFrame([(k, float(v), i % 3) for k, g in groups.items() for i, v in enumerate(g)] + [
+        ("bad", float("nan"), 0), ("bad", 1.0, 1)], "k string, v double, day int")
+    parts = [quantile_sketches(df.where(f"day = {d}"), ["k"], "v") for d in range(3)]
+    merged = merge_sketches(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["k"])
+    once = {r["k"]: r for r in described_sketches(quantile_sketches(df, ["k"], "v"), ["k"]).collect()}
+    exact = {r["k"]: r for r in describe(df, ["k"], "v").collect()}
+    got = {r["k"]: r for r in described_sketches(merged, ["k"]).collect()}
+    assert set(got) == set(exact) == {*groups, "bad"} and got["bad"]["p10"] is None and got["bad"]["n"] == 2
+    for k, g in groups.items():
+        assert got[k]["n"] == len(g)
+        for c in ("mean", "std"):
+            assert got[k][c] == pytest.approx(exact[k][c], rel=1e-9) == pytest.approx(once[k][c], rel=1e-9)
+        for q, c in ((0.1, "p10"), (0.9, "p90")):
+            for r in (got[k], once[k]):
+                # The share of values up to the one told.
+                assert np.mean(g < r[c]) - 0.01 <= q <= np.mean(g <= r[c]) + 0.01
+
+
+def test_most_common_equals_a_full_count(spark):
+    rng = np.random.default_rng(8)
+    skewed = [int(v) for v in rng.zipf(1.3, 30_000) % 100_000] + [None] * 900
+    even = [i % 5000 for i in range(30_000)]
+    for values in (skewed, even, [1, 1, None], [], [None] * 5):
+        df = spark.createDataFrame([(v,) for v in values], "v int")
+        for tracked in (64, 1 << 14):
+            got = [tuple(r) for r in S.most_common(df, "v", 10, tracked).collect()]
+            assert got == [tuple(r) for r in S.value_counts(df, "v").limit(10).collect()]
+
+
+def test_selection_is_counted_on_the_way(spark, tmp_path):
+    from pyspark.sql import Observation
+    from rostrum.plans.targets import select_talks
+    df = spark.createDataFrame(
+        [(1_200_000_000, 1), (1_200_000_000, 2), (0, 1), (0, 2), (None, 1), (1_200_000_000, None)],
+        "film_date long, num_speaker int")
+    counted = Observation("talks")
+    out = select_talks(df, (2007, 2009), counted=counted)
+    out.write.parquet(str(tmp_path / "t"))
+    assert counted.get == {"read": 6, "selected": 1, "other_year": 3, "other_speakers": 2}
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 1 == select_talks(df, (2007, 2009)).count()
