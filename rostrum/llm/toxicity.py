@@ -175,7 +175,8 @@ def _calibrate(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 
 def sample_of(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """At most `rows` labelled documents `(id, text, y)`, by hash of the id. `labels`: id
-    and 0/1; an id labelled twice takes the larger, one without a label none."""
+    and 0/1; an id labelled twice takes the larger, one without a label none. Of an id's
+    different texts the least counts, so a repeated id is one row."""
     key, mark = labels.columns
     known = labels.where(F.col(key).isNotNull() & F.col(mark).isNotNull()).groupBy(
         F.col(key).alias("id")
@@ -184,7 +185,7 @@ def sample_of(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Da
     doc, text = docs.columns
     return docs.select(F.col(doc).alias("id"), F.col(text).alias("text")).join(
         F.broadcast(chosen), "id"  # `rows` at most
-    )
+    ).groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
 
 
 def choose_terms(sample: DataFrame, terms: int = TERMS) -> list[str]:
@@ -259,7 +260,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, terms: int
 
     got = sample.select(F.col("id").cast("bigint"), "text", "y").mapInArrow(
         vectors, "id bigint, y int, terms array<bigint>, counts array<double>"
-    ).orderBy("id", "terms", "counts").collect()  # `rows` rows of few numbers, but for repeated ids
+    ).orderBy("id", "terms", "counts").collect()  # at most `rows` rows of few numbers
     # Copies of a text are one example, which has the least id and the mean of their labels.
     same: dict[tuple, list] = {}
     for r in got:
@@ -277,8 +278,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, terms: int
 def score(docs: DataFrame, vocabulary: list[str], index: Index, k: int = NEIGHBOURS) -> DataFrame:
     """`(id, score, predicted, evidence)` of every row of `docs` (id and text).
 
-    `evidence` lists the nearest examples with label and cosine; a document is no
-    evidence of itself. Null, empty and unknown texts have none and get the score of
+    `evidence` lists the nearest examples with label and cosine. A score depends on the text
+    alone, so equal texts score the same, and an example's own text finds itself. Null, empty and unknown texts have none and get the score of
     a vote that holds the sample's share alone.
     """
     model = docs.sparkSession.sparkContext.broadcast((vocabulary, index))  # bounded by the sample
@@ -293,9 +294,9 @@ def score(docs: DataFrame, vocabulary: list[str], index: Index, k: int = NEIGHBO
             for at in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(at, BATCH)
                 scores, evidence = [], []
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for text in batch.column(1).to_pylist():
                     terms, n = counts(text)
-                    found, cosine = index.nearest(terms, index.unit(terms, n), k, own=doc)
+                    found, cosine = index.nearest(terms, index.unit(terms, n), k)
                     scores.append(index.score(index.vote(found, cosine)))
                     evidence.append([
                         {"id": int(index.ids[i]), "label": float(index.labels[i]), "similarity": float(c)}

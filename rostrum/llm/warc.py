@@ -26,7 +26,7 @@ from pyspark.sql.datasource import (
     IsNotNull, StringStartsWith, WriterCommitMessage,
 )
 
-from rostrum.session import durable, shared_folder
+from rostrum.session import durable, landing, until_exit
 
 FORMAT = "rostrum_warc"
 SCHEMA = ("record_type string, record_id string, target_uri string, date string, refers_to string, "
@@ -367,11 +367,15 @@ def page_of(record_id):
 
 
 def archive(pages: DataFrame, folder: str | None = None, **options) -> str:
-    """Write `pages` as archives and name their folder (a new one by default)."""
+    """Write `pages` as archives and name their folder: by default a new one, which goes when the
+    program ends."""
     spark = pages.sparkSession
     register(spark)
-    folder = folder or f"{shared_folder(spark)}/rostrum/warc-{uuid.uuid4().hex}"
+    own = folder is None
+    folder = folder or landing(spark, "warc")
     page_records(pages).write.format(FORMAT).mode("append").options(**options).save(folder)
+    if own:
+        until_exit(spark, folder)
     return folder
 
 

@@ -456,3 +456,33 @@ def test_byte_ids_of_odd_texts(small):
     texts = [t or "" for t in ODD] + ["".join(random.choice("ab c\n\n  \t'sé.!?漢\x85\xa0 1 9<|") for _ in range(200)) for _ in range(500)]
     want = ids.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
     assert [np.frombuffer(b, "<u4").tolist() for b in ids.many(texts)] == [e.ids for e in want]
+
+
+# ---- toxicity
+
+def test_equal_texts_score_the_same(spark):
+    folder = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    scores = {}
+    for r in llm.queries()["op10_toxicity"](spark, folder).collect():
+        scores.setdefault(texts[r.doc_id], set()).add(r.score)
+    assert len(texts) > len(scores) and all(len(s) == 1 for s in scores.values())
+
+
+def test_held_out_toxicity_beats_the_majority(spark):
+    """On the held-out fifth of labelled rows: order, recall and precision."""
+    folder = "/root/testdata/sf0.1"
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    rows = [r for r in llm.queries()["op10_toxicity"](spark, folder).collect() if r.held_out and r.doc_id in toxic]
+    y, s = np.array([toxic[r.doc_id] for r in rows]), np.array([r.score for r in rows])
+    above = (s[y == 1][:, None] > s[y == 0][None, :]).mean() + (s[y == 1][:, None] == s[y == 0][None, :]).mean() / 2
+    recall, wrong = (s[y == 1] >= 0.5).mean(), (s[y == 0] >= 0.5).mean()
+    print(len(rows), int(y.sum()), "AUC", above, "recall", recall, "false alarms", wrong)
+    assert above > 0.95 and recall > 0.85 and wrong < 0.05
+
+
+def test_a_repeated_id_is_one_example(spark):
+    from rostrum.llm import toxicity
+    docs = spark.range(20_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("bad "), F.col("id").cast("string")).alias("text"))
+    sample = toxicity.sample_of(docs, spark.createDataFrame([(1, 1), (1, 0)], "doc_id long, toxic int"))
+    assert [tuple(r) for r in sample.collect()] == [(1, "bad 0", 1)]
