@@ -469,6 +469,28 @@ def test_equal_texts_score_the_same(spark):
     assert len(texts) > len(scores) and all(len(s) == 1 for s in scores.values())
 
 
+def test_terms_speak_for_either_label(spark):
+    from rostrum.llm import toxicity
+    rows = [(i, ("bad" if i % 2 else "good") + " common", i % 2) for i in range(40)]
+    sample = spark.createDataFrame(rows, "id long, text string, y int")
+    # Equal terms go by name; "bad" is too short for a beginning of its own.
+    assert toxicity.choose_terms(sample, 2) == ["^goo", "bad"]
+    assert {"bad", "good"} <= set(toxicity.choose_terms(sample))
+
+
+def test_counts_are_of_all_terms_of_all_words():
+    from rostrum.llm import toxicity
+    counts = toxicity.Counts(["bad", "^bad", "good"])
+    for text, want in (("Bad badly good, bad", {0: 2, 1: 1, 2: 1}), ("", {}), (None, {}), ("none", {})):
+        keys, n = counts(text)
+        assert dict(zip(keys.tolist(), n.tolist())) == want
+
+
+def test_most_texts_of_the_table_have_evidence(spark):
+    rows = llm.queries()["op10_toxicity"](spark, "/root/testdata/sf0.01").select("evidence").collect()
+    assert np.mean([bool(r.evidence) for r in rows]) > 0.85
+
+
 def test_held_out_toxicity_beats_the_majority(spark):
     """On the held-out fifth of labelled rows: order, recall and precision."""
     folder = "/root/testdata/sf0.1"
