@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rostrum.bindings.registry import query, rounded, sql_level, sql_z, table
 from rostrum.functions.numeric import band
+from rostrum.operators.components import project, wide_components
 from rostrum.operators.models import principal_components, standardise
 from rostrum.operators.positions import hash_folds
 from rostrum.operators.summaries import cohorts
@@ -67,6 +69,30 @@ def pca2(spark: SparkSession, folder: str) -> DataFrame:
     ).withColumns({c: rounded(c) for c in ("pc1", "pc2")})
 
 
+@query()
+def pca_wide(spark: SparkSession, folder: str) -> DataFrame:
+    """The components of `pca2`, without the matrix of all pairs of positions."""
+    ends = cohorts(vectors(spark, folder), "sum_norm", "vec_id")
+    return wide_components(
+        ends.select("vec_id", "rank", "x_embedding"), "x_embedding"
+    ).withColumns({c: rounded(c) for c in ("pc1", "pc2")})
+
+
+@query("""
+select vec_id,
+       round(list_sum([embedding[i]::double / i for i in range(1, len(embedding) + 1)]), 6) as falling,
+       round(list_sum([embedding[i]::double * (case when i % 2 = 1 then 1 else -1 end)
+                       for i in range(1, len(embedding) + 1)]), 6) as alternating
+from embeddings""")
+def projection(spark: SparkSession, folder: str) -> DataFrame:
+    """All vectors along two fixed directions."""
+    rows = vectors(spark, folder).select("vec_id", "x_embedding")
+    at = np.arange(rows.agg(F.max(F.size("x_embedding"))).first()[0] or 0)
+    directions = np.stack([1.0 / (at + 1), np.where(at % 2 == 0, 1.0, -1.0)], axis=1)
+    return project(rows, "x_embedding", directions, ["falling", "alternating"]).select(
+        "vec_id", rounded("falling").alias("falling"), rounded("alternating").alias("alternating"))
+
+
 @query("""
 select rank, least(count(*), 100) as n, true as centred, true as uncorrelated
 from embeddings, (select unnest(['most', 'least']) as rank) group by rank""")
@@ -114,6 +140,15 @@ def rbf_holdout(spark: SparkSession, folder: str) -> DataFrame:
     return scores
 
 
+@query()
+def ridge_holdout(spark: SparkSession, folder: str) -> DataFrame:
+    """The split of `rbf_holdout` for the kernel machine of many landmarks."""
+    scores, _ = holdout_run(
+        vectors(spark, folder), "vec_id", "sum_cat", ("x_embedding",), "kernel", machine="ridge",
+    )
+    return scores
+
+
 @query()
 def forest_holdout(spark: SparkSession, folder: str) -> DataFrame:
     scores, _ = holdout_run(

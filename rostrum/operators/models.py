@@ -59,7 +59,7 @@ def label_index(labels: Sequence[str]) -> Column:
     return (F.array_position(F.array(*[F.lit(c) for c in labels]), F.col("y")) - 1).cast("double")
 
 
-def _scores(df: DataFrame, labels: Sequence[str], prediction: str, probability: str) -> DataFrame:
+def class_scores(df: DataFrame, labels: Sequence[str], prediction: str, probability: str) -> DataFrame:
     scores = vector_to_array(probability)
     return df.select(
         "key", "y",
@@ -80,7 +80,7 @@ def forest(
         featureSubsetStrategy="sqrt", seed=seed, minInstancesPerNode=min_rows,
         maxMemoryInMB=memory_mb,
     ).fit(train.withColumn("label", label_index(labels)).select("x", "label"))
-    return _scores(model.transform(test), labels, "prediction", "probability")
+    return class_scores(model.transform(test), labels, "prediction", "probability")
 
 
 def kernel_map(
@@ -142,7 +142,7 @@ def kernel_svc(
     finally:
         fit_on.unpersist()
     scored = calibration.transform(machines.transform(test.withColumn("k", mapped("x"))))
-    return _scores(scored, labels, "chosen", "probability")
+    return class_scores(scored, labels, "chosen", "probability")
 
 
 def stratified_baseline(

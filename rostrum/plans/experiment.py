@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rostrum.functions.vectors import concat
 from rostrum.operators import models
+from rostrum.operators.kernel_ridge import kernel_ridge
 from rostrum.operators.metrics import confusion, run_scores, score_table
 from rostrum.operators.positions import balanced_folds, hash_folds, holdout
 from rostrum.session import durable, file_system, landing, until_exit
@@ -34,6 +35,7 @@ FEATURE_SETS = {
     "Audio-Text": ("x_embedding", "x_text"),
     "Baseline": ("x_embedding",),
 }
+KERNEL_MACHINES = {"svc": models.kernel_svc, "ridge": kernel_ridge}
 KERNEL_SETS = ("Embeddings", "MFCC", "Text", "Audio-Text")
 BASELINE_SET = "Baseline"
 
@@ -43,7 +45,8 @@ def predict(
     **options
 ) -> DataFrame:
     """Fit, and predict the test rows. Tables: key, y, x. Vectors are scaled by the training
-    rows, or stay as they are; the kernel's width then follows their variance."""
+    rows, or stay as they are; the kernel's width then follows their variance. The option
+    `machine="ridge"` takes the kernel machine for many landmarks."""
     if scale:
         (train, test), varying = models.standardise(train, [test])
         width = 1.0 / max(varying, 1)
@@ -51,7 +54,8 @@ def predict(
         width = models.scale_width(train) if kind == "kernel" else None
         train, test = (t.withColumn("x", array_to_vector("x")) for t in (train, test))
     if kind == "kernel":
-        return models.kernel_svc(train, test, labels, width, **options)
+        fit = KERNEL_MACHINES[options.pop("machine", "svc")]
+        return fit(train, test, labels, width, **options)
     return models.forest(train, test, labels, **options)
 
 

@@ -3,7 +3,8 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from rostrum.operators import models
+from rostrum.operators import kernel_ridge as ridge, models
+from rostrum.operators.components import wide_components
 from rostrum.plans.experiment import cross_validate, experiment, holdout_run
 from rostrum.vocab import LEVELS
 
@@ -178,3 +179,82 @@ def test_a_run_that_hangs_is_stopped(spark, planted, monkeypatch):
                                  folds=2, options=FEW, limit=15)
     assert [f[:2] for f in failed] == [("t", "Gender")] and "stopped after 15 seconds" in failed[0][2]
     assert {r["type"] for r in out.select("type").distinct().collect()} == {"Posteriors"}
+
+
+def dense_ridge(x, y, gamma, penalty, asked):
+    """Margins of the exact kernel solution."""
+    kernel = lambda a, b: np.exp(-gamma * ((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
+    return kernel(asked, x) @ np.linalg.solve(kernel(x, x) + penalty * np.eye(len(x)), y)
+
+
+@pytest.fixture(scope="module")
+def ridge_rows(spark, planted):
+    """The planted rows, three of them twice, as key, x and label, and as arrays."""
+    rows = planted.unionByName(planted.where("id < 3").withColumn("id", F.col("id") + 1000)).withColumnRenamed(
+        "y_cat", "y").select(
+        F.col("id").alias("key"), F.col("x_embedding").alias("x"), models.label_index(LEVELS).alias("label"))
+    got = rows.orderBy("key").collect()
+    x, label = np.array([r["x"] for r in got]), np.array([r["label"] for r in got])
+    return rows, x, np.where(label[:, None] == np.arange(3)[None, :], 1.0, -1.0)
+
+
+def test_ridge_is_exact_on_all_landmarks(ridge_rows):
+    rows, x, y = ridge_rows
+    points, stands = ridge.leverage_landmarks(rows, 0.25, 0.1, landmarks=1000, pilot=50)
+    assert len(points) == 240 and sorted(stands) == [1.0] * 237 + [2.0] * 3
+    weights, steps = ridge.solve(rows, 3, points, stands, 0.25, 0.1)
+    asked = np.random.default_rng(1).normal(0, 1, (50, 4))
+    np.testing.assert_allclose(
+        ridge.rbf(asked, points, 0.25) @ weights, dense_ridge(x, y, 0.25, 0.1, asked), atol=1e-3)
+    assert steps < 20
+
+
+def test_ridge_nears_the_exact_solution_with_its_landmarks(spark, ridge_rows):
+    rows, x, y = ridge_rows
+    exact, off = dense_ridge(x, y, 0.25, 1.0, x), []
+    for landmarks in (15, 60, 150):
+        points, stands = ridge.leverage_landmarks(rows, 0.25, 1.0, landmarks, pilot=40)
+        again, _ = ridge.leverage_landmarks(rows.repartition(7), 0.25, 1.0, landmarks, pilot=40)
+        np.testing.assert_array_equal(points, again)
+        weights, _ = ridge.solve(rows, 3, points, stands, 0.25, 1.0)
+        off.append(np.abs(ridge.rbf(x, points, 0.25) @ weights - exact).mean())
+    assert off[0] > off[1] > off[2] and off[2] < 0.01
+
+
+def test_ridge_in_the_grid(spark, planted):
+    options = {"kernel": {"machine": "ridge", "landmarks": 100, "pilot": 40}}
+    scores, _ = holdout_run(planted, "id", "y_cat", ("x_embedding",), "kernel", machine="ridge", landmarks=100)
+    majority = planted.groupBy("y_cat").count().agg(F.max("count")).first()[0] / 240
+    assert scores.first()["accuracy"] > majority + 0.2
+    out, failed = cross_validate(
+        planted, "id", {"t": "y_cat"}, {"Embeddings": ("x_embedding",)}, folds=2, options=options)
+    assert failed == []
+    rows = out.collect()
+    assert sorted(r["key"] for r in rows) == list(range(240))
+    assert all(abs(r["low"] + r["medium"] + r["high"] - 1) < 1e-9 for r in rows)
+    assert sum(r["p"] == r["y"] for r in rows) / 240 > majority + 0.2
+
+
+def test_wide_components_equal_principal_components(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(
+        "vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    one, two = (f(df, "v", 3).orderBy("vec_id").drop("vec_id").toPandas().to_numpy()
+                for f in (models.principal_components, wide_components))
+    np.testing.assert_allclose(np.abs(one), np.abs(two), atol=1e-6)
+
+
+def test_wide_components_of_awkward_tables(spark):
+    # More positions than rows, a constant position, equal rows; then few positions, then none.
+    rng = np.random.default_rng(3)
+    x = np.outer(rng.normal(0, 3, 30), rng.normal(0, 1, 400)) + rng.normal(0, 0.1, (30, 400))
+    x[:, 5], x[7] = 2.0, x[6]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>")
+    out = wide_components(df, "v").orderBy("id").toPandas()
+    z = np.divide(x - x.mean(axis=0), x.std(axis=0), out=np.zeros_like(x), where=x.std(axis=0) > 1e-12)
+    u, s, _ = np.linalg.svd(z, full_matrices=False)
+    np.testing.assert_allclose(np.abs(out["pc1"]), np.abs(u[:, 0] * s[0]), atol=1e-6)
+    assert out["pc1"][6] == out["pc1"][7]
+    narrow = spark.createDataFrame([(1, [1.0]), (2, [3.0])], "id int, v array<double>")
+    assert [(r["pc1"], r["pc2"]) for r in wide_components(narrow, "v").orderBy("id").collect()] == [
+        (-1.0, None), (1.0, None)]
+    assert wide_components(df.where("id < 0"), "v").collect() == []

@@ -12,7 +12,8 @@ QUERIES, SQL = bindings.queries(), bindings.oracle_sql()
 # Pair sums and the lines of quoted CSV run in Arrow batches; fits have plans of their own.
 ARROW = {"corr_matrix", "corr_table", "corr_rank", "cohort_correlations", "survey_correlations",
          "survey_pairs", "corr_tiles", "talk_files", "vector_files", "score_files"}
-FITS = {"pca2", "rbf_holdout", "forest_holdout", "cv_scores", "scaled", "pca_checks", "forest_rows", "cohort_projection"}
+FITS = {"pca2", "rbf_holdout", "forest_holdout", "cv_scores", "scaled", "pca_checks", "forest_rows", "cohort_projection",
+        "pca_wide", "projection", "ridge_holdout"}
 
 
 @pytest.fixture(scope="module")
