@@ -101,8 +101,11 @@ class Index:
                 continue
             place = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
             place += np.repeat(first.ravel(), size)
-            found, inverse = np.unique(self.posting[place], return_inverse=True)
-            score = np.bincount(inverse, self.weight[place] * np.repeat(np.repeat(weights, len(blocks)), size))
+            score = np.bincount(
+                self.posting[place], self.weight[place] * np.repeat(np.repeat(weights, len(blocks)), size)
+            )
+            found = np.flatnonzero(score)  # weights are above 0
+            score = score[found]
             if own is not None:
                 other = self.ids[found] != own
                 found, score = found[other], score[other]
@@ -226,7 +229,8 @@ def _document_counts(docs: DataFrame, vocabulary: list[str]) -> tuple[int, np.nd
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 for text in batch.column(0).slice(at, BATCH).to_pylist():
-                    df[counts(text)[0]] += 1
+                    words = set(WORD.findall((text or "").lower()))
+                    df[list(set().union(*map(counts.__getitem__, words)))] += 1
                     n += 1
         yield pa.RecordBatch.from_arrays([
             pa.array([n, *df.tolist()], pa.int64()), pa.array(range(len(df) + 1), pa.int32())
