@@ -147,8 +147,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of every document, learnt outside the held-out fifth."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     labels = table(spark, folder, "labels").select("doc_id", "toxic").where(~held_out(F.col("doc_id")))
-    vocabulary, index = toxicity.fit(docs, labels)
-    return toxicity.score(docs, vocabulary, index).select(
+    return toxicity.fit_score(docs, labels).select(
         F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score", "predicted",
         F.transform("evidence", lambda e: e["id"]).alias("evidence"),
     )

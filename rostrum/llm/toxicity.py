@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from rostrum.session import durable
+
 SAMPLE_ROWS = 8192  # labelled rows that terms, examples and calibration come from
 TERMS = 2048
 LEAST_ROWS = 5  # of the sample that hold a term
@@ -222,92 +224,113 @@ def choose_terms(sample: DataFrame, terms: int = TERMS) -> list[str]:
     return sorted(r["term"] for r in best.collect())
 
 
-def _document_counts(docs: DataFrame, vocabulary: list[str]) -> tuple[int, np.ndarray]:
-    """Rows, and rows that hold each term: one small array per task."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, n, df = Counts(vocabulary), 0, np.zeros(len(vocabulary), np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                for text in batch.column(0).slice(at, BATCH).to_pylist():
-                    words = set(WORD.findall((text or "").lower()))
-                    df[list(set().union(*map(counts.__getitem__, words)))] += 1
-                    n += 1
-        yield pa.RecordBatch.from_arrays([
-            pa.array([n, *df.tolist()], pa.int64()), pa.array(range(len(df) + 1), pa.int32())
-        ], ["n", "at"])
-
-    sums = docs.mapInArrow(count, "n bigint, at int").groupBy("at").agg(F.sum("n").alias("n"))
-    out = np.zeros(len(vocabulary) + 1, np.int64)
-    for r in sums.collect():  # one row per term
-        out[r["at"]] = r["n"]
-    return int(out[0]), out[1:]
+def vectors_of(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """`(id, terms, counts)` of `docs` (id and text): the terms each text holds, by number,
+    and how often. Null, empty and unknown texts hold none. Further columns pass through."""
+    key, text, *more = docs.columns
+    rows = docs.select(F.col(text).alias("text"), F.col(key).cast("bigint").alias("id"), *more)
+    cells = {"terms": "array<int>", "counts": "array<int>"}
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counts(vocabulary)
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(at, BATCH)
+                held = [counts(t) for t in batch.column(0).to_pylist()]
+                ends = np.cumsum([0] + [len(t) for t, _ in held]).astype(np.int32)
+                parts = [
+                    pa.ListArray.from_arrays(ends, np.concatenate([h[i] for h in held]).astype(np.int32))
+                    for i in range(2)
+                ] if held else [pa.array([], pa.list_(pa.int32()))] * 2
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[1:], *parts], [*batch.schema.names[1:], *cells]
+                )
+
+    shape = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[1:]]
+    shape += [f"{name} {kind}" for name, kind in cells.items()]
+    return rows.mapInArrow(run, ", ".join(shape))
+
+
+def inverse_frequencies(vectors: DataFrame, terms: int) -> np.ndarray:
+    """The terms' weights from the rows of `vectors` that hold each: one row per term."""
+    held = np.zeros(terms + 1, np.int64)  # position 0: all rows
+    for r in vectors.select(F.explode(F.array_prepend(F.col("terms"), F.lit(-1))).alias("term")).groupBy(
+        "term"
+    ).count().collect():
+        held[r["term"] + 1] = r["count"]
+    return np.log((1 + held[0]) / (1 + held[1:])) + 1
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, terms: int = TERMS,
-        k: int = NEIGHBOURS) -> tuple[list[str], Index]:
-    """Vocabulary and index. `docs`: id and text; `labels`: id and 0/1. The sample is
-    bounded by `rows`; document frequencies count all of `docs`."""
-    sample = sample_of(docs, labels, rows)
-    vocabulary = choose_terms(sample, terms)
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counts(vocabulary)
-        for batch in batches:
-            cells = [counts(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(2),
-                pa.array([c[0] for c in cells], pa.list_(pa.int64())),
-                pa.array([c[1] for c in cells], pa.list_(pa.float64())),
-            ], ["id", "y", "terms", "counts"])
-
-    got = sample.select(F.col("id").cast("bigint"), "text", "y").mapInArrow(
-        vectors, "id bigint, y int, terms array<bigint>, counts array<double>"
-    ).orderBy("id", "terms", "counts").collect()  # at most `rows` rows of few numbers
+def _index(sample: DataFrame, vocabulary: list[str], vectors: DataFrame, k: int) -> Index:
+    """Index the sample; `vectors` are those of all documents."""
+    got = vectors_of(sample, vocabulary).orderBy("id", "terms", "counts").collect()  # a bounded sample
     # Copies of a text are one example, which has the least id and the mean of their labels.
     same: dict[tuple, list] = {}
     for r in got:
         same.setdefault((tuple(r["terms"]), tuple(r["counts"])) if r["terms"] else r["id"], []).append(r)
-    n, df = _document_counts(docs.select(docs.columns[1]), vocabulary)
-    idf = np.log((1 + n) / (1 + df)) + 1
-    return vocabulary, build(
+    return build(
         np.array([rows[0]["id"] for rows in same.values()], np.int64),
         np.array([np.mean([r["y"] for r in rows]) for rows in same.values()]),
         [(np.array(rows[0]["terms"], np.int64), np.array(rows[0]["counts"], float))
-         for rows in same.values()], idf, k,
+         for rows in same.values()], inverse_frequencies(vectors, len(vocabulary)), k,
     )
 
 
+def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, terms: int = TERMS,
+        k: int = NEIGHBOURS) -> tuple[list[str], Index]:
+    """Vocabulary and index. `docs`: id and text; `labels`: id and 0/1. The sample is
+    bounded by `rows`; document frequencies count all of `docs`, texts that are null or
+    repeat included. Without labels or documents the index is empty."""
+    sample = sample_of(docs, labels, rows)
+    vocabulary = choose_terms(sample, terms)
+    return vocabulary, _index(sample, vocabulary, vectors_of(docs, vocabulary), k)
+
+
+def fit_score(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, terms: int = TERMS,
+              k: int = NEIGHBOURS) -> DataFrame:
+    """`score` of `docs` by what `fit` learns from them and `labels`. Texts are read for
+    their terms once: these are written, then counted and scored."""
+    sample = sample_of(docs, labels, rows)
+    vocabulary = choose_terms(sample, terms)
+    vectors = durable(vectors_of(docs, vocabulary), "terms")
+    return score_vectors(vectors, _index(sample, vocabulary, vectors, k), k)
+
+
 def score(docs: DataFrame, vocabulary: list[str], index: Index, k: int = NEIGHBOURS) -> DataFrame:
     """`(id, score, predicted, evidence)` of every row of `docs` (id and text).
 
     `evidence` lists the nearest examples with label and cosine. A score depends on the text
-    alone, so equal texts score the same, and an example's own text finds itself. Null, empty and unknown texts have none and get the score of
-    a vote that holds the sample's share alone.
+    alone, so equal texts score the same, and an example's own text finds itself. Null,
+    empty and unknown texts have none and get the score of a vote that holds the sample's
+    share alone. Rows without an id are scored as well.
     """
-    model = docs.sparkSession.sparkContext.broadcast((vocabulary, index))  # bounded by the sample
+    return score_vectors(vectors_of(docs, vocabulary), index, k)
+
+
+def score_vectors(vectors: DataFrame, index: Index, k: int = NEIGHBOURS) -> DataFrame:
+    """`score` of the texts that `vectors_of` counted."""
+    model = vectors.sparkSession.sparkContext.broadcast(index)  # bounded by the sample
     shape = ("id bigint, score double, predicted int, "
              "evidence array<struct<id:bigint,label:double,similarity:double>>")
     cell = pa.list_(pa.struct([("id", pa.int64()), ("label", pa.float64()), ("similarity", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, index = model.value
-        counts = Counts(vocabulary)
-        for whole in batches:
-            for at in range(0, whole.num_rows, BATCH):
-                batch = whole.slice(at, BATCH)
-                scores, evidence = [], []
-                for text in batch.column(1).to_pylist():
-                    terms, n = counts(text)
-                    found, cosine = index.nearest(terms, index.unit(terms, n), k)
-                    scores.append(index.score(index.vote(found, cosine)))
-                    evidence.append([
-                        {"id": int(index.ids[i]), "label": float(index.labels[i]), "similarity": float(c)}
-                        for i, c in zip(found[:3], cosine)
-                    ])
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0), pa.array(scores, pa.float64()),
-                    pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, cell),
-                ], ["id", "score", "predicted", "evidence"])
-
-    key, text = docs.columns
-    return docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(run, shape)
+        index = model.value
+        for batch in batches:
+            scores, evidence = [], []
+            ends = batch.column(1).offsets.to_numpy()
+            held, times = (batch.column(i).values.to_numpy() for i in (1, 2))
+            for at, to in zip(ends[:-1], ends[1:]):
+                terms = held[at:to]
+                found, cosine = index.nearest(terms, index.unit(terms, times[at:to].astype(float)), k)
+                scores.append(index.score(index.vote(found, cosine)))
+                evidence.append([
+                    {"id": int(index.ids[i]), "label": float(index.labels[i]), "similarity": float(c)}
+                    for i, c in zip(found[:3], cosine)
+                ])
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array(scores, pa.float64()),
+                pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, cell),
+            ], ["id", "score", "predicted", "evidence"])
+
+    return vectors.select("id", "terms", "counts").mapInArrow(run, shape)
