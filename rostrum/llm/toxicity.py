@@ -47,9 +47,12 @@ class Counts(dict):
 
     def __init__(self, vocabulary: list[str]):
         self.at = {t: i for i, t in enumerate(vocabulary)}
+        self.heads = {t.lstrip("^")[:BEGINNINGS.start] for t in vocabulary}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        found = tuple(sorted(self.at[t] for t in terms_of(word) if t in self.at))
+        found = ()
+        if word[:BEGINNINGS.start] in self.heads:  # as the word and its beginnings start alike
+            found = tuple(sorted(self.at[t] for t in terms_of(word) if t in self.at))
         if len(self) < MOST_WORDS and len(word) <= LONGEST_WORD:
             self[word] = found
         return found
@@ -290,7 +293,7 @@ def fit_score(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, terms
               k: int = NEIGHBOURS) -> DataFrame:
     """`score` of `docs` by what `fit` learns from them and `labels`. Texts are read for
     their terms once: these are written, then counted and scored."""
-    sample = sample_of(docs, labels, rows)
+    sample = durable(sample_of(docs, labels, rows), "sample")  # `rows` at most, read four times
     vocabulary = choose_terms(sample, terms)
     vectors = durable(vectors_of(docs, vocabulary), "terms")
     return score_vectors(vectors, _index(sample, vocabulary, vectors, k), k)
