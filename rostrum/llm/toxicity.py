@@ -26,7 +26,8 @@ TERMS = 2048
 LEAST_ROWS = 5  # of the sample that hold a term
 NEIGHBOURS = 32
 BLOCK = 64
-CHUNK = 16  # blocks scored at a time
+CHUNK = 16  # blocks scored first, then four times as many
+SLIP = 1e-9  # sums that differ by rounding only count as equal until the last
 PRIOR_WEIGHT = 0.5  # of one more vote that holds the sample's share of label 1
 BEGINNINGS = range(3, 9)
 WORD = re.compile(r"\w+")
@@ -92,32 +93,33 @@ class Index:
             return np.empty(0, np.int64), np.empty(0)
         bound = weights @ self.most[terms]
         order = np.argsort(-bound, kind="stable")
-        best, cosine = np.empty(0, np.int64), np.empty(0)
-        for at in range(0, len(order), CHUNK):
-            blocks = order[at:at + CHUNK]
-            least = cosine[k - 1] if len(cosine) >= k else 0.0
-            blocks = blocks[(bound[blocks] >= least - 1e-9) & (bound[blocks] > 0)]
+        order = order[bound[order] > 0]
+        starts = self.start[terms]
+        best, cosine, least = np.empty(0, np.int64), np.empty(0), 0.0
+        at, step = 0, CHUNK
+        while at < len(order):
+            blocks = order[at:at + step]
+            blocks = blocks[bound[blocks] >= least - SLIP]
             if not len(blocks):
                 break
-            first = self.start[terms][:, blocks]
-            size = (self.start[terms][:, blocks + 1] - first).ravel()
-            total = int(size.sum())
-            if not total:
-                continue
-            place = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
-            place += np.repeat(first.ravel(), size)
-            score = np.bincount(
-                self.posting[place], self.weight[place] * np.repeat(np.repeat(weights, len(blocks)), size)
-            )
-            found = np.flatnonzero(score)  # weights are above 0
-            score = score[found]
+            at, step = at + step, step * 4  # what the first blocks leave is mostly ruled out
+            first = starts[:, blocks]
+            size = starts[:, blocks + 1] - first
+            weight = np.repeat(weights, size.sum(axis=1))
+            first, size = first.ravel(), size.ravel()
+            ends = np.cumsum(size)
+            place = np.arange(ends[-1]) + np.repeat(first - ends + size, size)
+            score = np.bincount(self.posting[place], self.weight[place] * weight)
+            found = np.flatnonzero(score >= least - SLIP if least else score)  # weights are above 0
             if own is not None:
-                other = self.ids[found] != own
-                found, score = found[other], score[other]
-            best, cosine = np.concatenate([best, found]), np.concatenate([cosine, score])
-            top = np.lexsort((self.ids[best], -np.round(cosine, 12)))[:k]
-            best, cosine = best[top], cosine[top]
-        return best, cosine
+                found = found[self.ids[found] != own]
+            best, cosine = np.concatenate([best, found]), np.concatenate([cosine, score[found]])
+            if len(best) > k:
+                least = float(np.partition(cosine, len(cosine) - k)[len(cosine) - k])
+                near = cosine >= least - SLIP
+                best, cosine = best[near], cosine[near]
+        top = np.lexsort((self.ids[best], -np.round(cosine, 12)))[:k]
+        return best[top], cosine[top]
 
     def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
         w = cosine * cosine
@@ -256,12 +258,19 @@ def vectors_of(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
 
 def inverse_frequencies(vectors: DataFrame, terms: int) -> np.ndarray:
     """The terms' weights from the rows of `vectors` that hold each: one row per term."""
-    held = np.zeros(terms + 1, np.int64)  # position 0: all rows
-    for r in vectors.select(F.explode(F.array_prepend(F.col("terms"), F.lit(-1))).alias("term")).groupBy(
-        "term"
-    ).count().collect():
-        held[r["term"] + 1] = r["count"]
-    return np.log((1 + held[0]) / (1 + held[1:])) + 1
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(terms + 1, np.int64)  # the last: all rows
+        for batch in batches:
+            held[:-1] += np.bincount(batch.column(0).flatten().to_numpy(), minlength=terms)
+            held[-1] += batch.num_rows
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(held[at])], ["at", "n"])
+
+    sums = vectors.select("terms").mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n"))
+    held = np.zeros(terms + 1, np.int64)
+    for r in sums.collect():
+        held[r["at"]] = r["n"]
+    return np.log((1 + held[-1]) / (1 + held[:-1])) + 1
 
 
 def _index(sample: DataFrame, vocabulary: list[str], vectors: DataFrame, k: int) -> Index:
@@ -296,7 +305,9 @@ def fit_score(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, terms
     sample = durable(sample_of(docs, labels, rows), "sample")  # `rows` at most, read four times
     vocabulary = choose_terms(sample, terms)
     vectors = durable(vectors_of(docs, vocabulary), "terms")
-    return score_vectors(vectors, _index(sample, vocabulary, vectors, k), k)
+    index = _index(sample, vocabulary, vectors, k)
+    # Small rows, much work: as many tasks as there were for the texts.
+    return score_vectors(vectors.repartition(max(1, len(vectors.inputFiles()))), index, k)
 
 
 def score(docs: DataFrame, vocabulary: list[str], index: Index, k: int = NEIGHBOURS) -> DataFrame:
