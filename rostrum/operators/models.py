@@ -11,14 +11,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import (
-    LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier,
-)
+from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.feature import PCA, ElementwiseProduct, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rostrum.operators.forest import GROUP_ROWS, forest_votes
 from rostrum.operators.positions import hash_number
 from rostrum.vocab import SEED, SVC_C
 
@@ -71,16 +70,22 @@ def class_scores(df: DataFrame, labels: Sequence[str], prediction: str, probabil
 def forest(
     train: DataFrame, test: DataFrame, labels: Sequence[str], trees: int = 100,
     depth: int = 30, seed: int = SEED, min_rows: int = 1, memory_mb: int = 256,
+    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
-    """Spark ML's forest. The driver keeps every node, and deep trees have more of them the
-    more rows there are: raise `min_rows` per leaf on large tables, and `memory_mb`, the
-    statistics of the nodes split at a time, to save passes."""
-    model = RandomForestClassifier(
-        featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth,
-        featureSubsetStrategy="sqrt", seed=seed, minInstancesPerNode=min_rows,
-        maxMemoryInMB=memory_mb,
-    ).fit(train.withColumn("label", label_index(labels)).select("x", "label"))
-    return class_scores(model.transform(test), labels, "prediction", "probability")
+    """A forest as Spark ML's, of binned splits over sqrt(positions) each, that neither the
+    driver nor a task holds whole (see `operators/forest.py`)."""
+    x = vector_to_array("x").alias("x")
+    votes = forest_votes(
+        train.select("key", label_index(labels).alias("y"), x), test.select("key", "y", x), len(labels),
+        trees, depth, seed, min_rows, memory_mb, group_rows,
+    )
+    each = [F.coalesce(F.col(f"v{k}"), F.lit(0)) for k in range(len(labels))]
+    total, most = sum(each[1:], each[0]), F.greatest(*each) if len(each) > 1 else each[0]
+    return votes.select(
+        "key", "y",
+        F.get(F.array(*[F.lit(c) for c in labels]), F.array_position(F.array(*each), most).cast("int") - 1).alias("p"),
+        *[F.coalesce(F.try_divide(v.cast("double"), total), F.lit(0.0)).alias(c) for v, c in zip(each, labels)],
+    )
 
 
 def kernel_map(

@@ -1,9 +1,9 @@
 import numpy as np
 import pytest
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from rostrum.operators import kernel_ridge as ridge, models
+from rostrum.operators import forest, kernel_ridge as ridge, models
 from rostrum.operators.components import wide_components
 from rostrum.plans.experiment import cross_validate, experiment, holdout_run
 from rostrum.vocab import LEVELS
@@ -94,6 +94,69 @@ def test_holdout_run(spark, planted):
     assert hits / sum(r["n"] for r in cells) == pytest.approx(out["accuracy"])
 
 
+def forest_tables(planted):
+    rows = planted.select(F.col("id").alias("key"), F.col("y_cat").alias("y"), array_to_vector("x_embedding").alias("x"))
+    return rows.where("key % 4 > 0"), rows.where("key % 4 = 0")
+
+
+def test_a_forest_does_not_depend_on_how_it_is_split_up(planted):
+    train, test = forest_tables(planted)
+    options = dict(trees=7, depth=30)
+    whole = sorted(models.forest(train, test, LEVELS, **options).collect())
+    # Upper nodes split by passes, a few of them a pass, over other partitions.
+    parts = models.forest(
+        train.repartition(5, "x"), test.repartition(3), LEVELS, group_rows=20, memory_mb=1, **options)
+    assert sorted(parts.collect()) == whole and len(whole) == 60
+    other = models.forest(train, test, LEVELS, seed=1, **options)
+    assert sorted(other.collect()) != whole
+
+
+def test_forest_keeps_its_nodes_off_the_driver(planted):
+    train, test = forest_tables(planted)
+    plan = models.forest(train, test, LEVELS, trees=3)._jdf.queryExecution().toString()
+    # The test rows are voted on where the nodes below are grown, not by a model from the driver.
+    assert plan.count("MapInArrow") >= 3 and "RepartitionByExpression" in plan
+
+
+def test_forest_learns_and_leaves_are_pure(planted):
+    train, _ = forest_tables(planted)
+    out = models.forest(train, train, LEVELS, trees=40).collect()
+    assert sum(r["p"] == r["y"] for r in out) / len(out) > 0.97
+    assert all(r["p"] == max(LEVELS, key=lambda c: r[c]) and abs(sum(r[c] for c in LEVELS) - 1) < 1e-9 for r in out)
+
+
+def test_forest_of_awkward_tables(spark, planted):
+    schema = "key bigint, y string, x array<double>"
+    # Null and repeated keys, a constant and a rare value: rows stay, the rare value is split at.
+    rows = [(None if i % 2 else 5, "high" if i % 50 == 0 else "low", [1.0, float(i % 50 == 0)]) for i in range(400)]
+    df = spark.createDataFrame(rows, schema).withColumn("x", array_to_vector("x"))
+    out = models.forest(df, df, LEVELS, trees=9, group_rows=50).collect()
+    assert len(out) == 400 and all(r["p"] == r["y"] and r["medium"] == 0 for r in out)
+    for bad in ([(1, "none", [1.0])], [(1, "low", [float("nan")])], [(1, "low", [1.0]), (2, "low", [1.0, 2.0])]):
+        with pytest.raises(Exception):
+            train = spark.createDataFrame(bad, schema).withColumn("x", array_to_vector("x"))
+            models.forest(train, train, LEVELS, trees=2).collect()
+    with pytest.raises(ValueError):
+        models.forest(df.where("false"), df, LEVELS)
+
+
+def test_best_splits_are_those_of_all_splits():
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 6, (60, 4)).astype(np.uint8)
+    y, w = (x[:, 2] > 2).astype(np.uint8) + (rng.random(60) < 0.2).astype(np.uint8), rng.integers(1, 4, 60).astype(np.uint8)
+    picks, row = np.array([[0, 2, 3]]), np.arange(60)
+    hist = forest.tally(x, row, y, w, np.zeros(60, dtype=int), picks, 3)
+    position, cut, sides = forest.best_splits(hist, picks, 1)
+
+    def gini(part):
+        n = np.bincount(y[part], w[part], 3)
+        return n.sum() - (n ** 2).sum() / n.sum()
+
+    tried = {(p, c): gini(x[:, p] <= c) + gini(x[:, p] > c) for p in (0, 2, 3) for c in range(5)}
+    assert tried[position[0], cut[0]] == pytest.approx(min(tried.values()))
+    np.testing.assert_array_equal(sides[0, 0], np.bincount(y[x[:, position[0]] <= cut[0]], w[x[:, position[0]] <= cut[0]], 3))
+
+
 def test_unscaled_kernel_width(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(0, 5, (50, 4))
