@@ -22,6 +22,7 @@ from rostrum.operators.positions import hash_number
 from rostrum.vocab import SEED, SVC_C
 
 LANDMARKS = 256
+TASK_CELLS = 1 << 22  # numbers, 32 MB, that a task of the machines' passes takes at least
 
 
 def standardise(
@@ -125,14 +126,15 @@ def kernel_svc(
 
     Spark has no kernel machine: the kernel is mapped to explicit features, then
     one linear machine per class is fitted, and a logistic model turns their
-    margins into probabilities.
+    margins into probabilities. The machines pass over the features some thousand times, so
+    small tables are put into few tasks: one alone needs no shuffle.
     """
     mapped = kernel_map(train, width, landmarks, seed)
+    n = train.count()
     fit_on = train.select(
         "key", "y", label_index(labels).alias("label"), mapped("x").alias("k")
-    ).persist()
+    ).coalesce(-(-n * landmarks // TASK_CELLS) or 1).persist()
     try:
-        n = fit_on.count()
         machines = OneVsRest(
             classifier=LinearSVC(
                 regParam=1.0 / (c * n), maxIter=iterations, standardization=False

@@ -157,6 +157,19 @@ def test_best_splits_are_those_of_all_splits():
     np.testing.assert_array_equal(sides[0, 0], np.bincount(y[x[:, position[0]] <= cut[0]], w[x[:, position[0]] <= cut[0]], 3))
 
 
+def test_kernel_machines_of_small_tables_need_no_shuffle(planted, monkeypatch):
+    tasks, fit = [], models.OneVsRest.fit
+    monkeypatch.setattr(
+        models.OneVsRest, "fit", lambda self, df: tasks.append(df.rdd.getNumPartitions()) or fit(self, df))
+    train, test = forest_tables(planted)
+    train = train.repartition(6)
+    out = models.kernel_svc(train, test, LEVELS, 0.25, landmarks=60, iterations=5)
+    assert out.count() == 60 and tasks == [1]
+    monkeypatch.setattr(models, "TASK_CELLS", 60 * 60)  # 180 rows: three tasks
+    models.kernel_svc(train, test, LEVELS, 0.25, landmarks=60, iterations=5)
+    assert tasks == [1, 3]
+
+
 def test_unscaled_kernel_width(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(0, 5, (50, 4))
