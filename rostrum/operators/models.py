@@ -126,7 +126,7 @@ def kernel_svc(
 
     Spark has no kernel machine: the kernel is mapped to explicit features, then
     one linear machine per class is fitted, and a logistic model turns their
-    margins into probabilities. The machines pass over the features some thousand times, so
+    margins into probabilities. The machines pass over the features some hundred times, so
     small tables are put into few tasks: one alone needs no shuffle.
     """
     mapped = kernel_map(train, width, landmarks, seed)

@@ -170,6 +170,12 @@ def test_kernel_machines_of_small_tables_need_no_shuffle(planted, monkeypatch):
     assert tasks == [1, 3]
 
 
+def test_holdout_scores_do_not_depend_on_how_its_forest_is_split_up(planted):
+    once, again = (holdout_run(rows, "id", "y_cat", ("x_embedding",), "forest", trees=10, group_rows=size)[0].collect()
+                   for rows, size in ((planted, 1 << 15), (planted.repartition(5), 25)))
+    assert once == again
+
+
 def test_unscaled_kernel_width(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(0, 5, (50, 4))
