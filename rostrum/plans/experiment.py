@@ -166,9 +166,10 @@ def cross_validate(
     table: DataFrame, key: str, targets: Mapping[str, str],
     feature_sets: Mapping[str, Sequence[str]] = FEATURE_SETS, labels: Sequence[str] = LEVELS,
     folds: int = FOLDS, threads: int = 4, options: Mapping[str, Mapping] | None = None,
-    balanced: bool = False, keep: str | None = None, limit: float | None = None,
+    balanced: bool = False, keep: str | None = None, limit: float | None = None, whole: bool = False,
 ) -> tuple[DataFrame, list[tuple[str, str, str]]]:
-    """Predictions of every (target, feature set), and the runs that failed.
+    """Predictions of every (target, feature set), and the runs that failed; with `whole`, a
+    failed run is an error once the others have ended.
 
     `targets` maps a target's name to its level column. The table with its folds is
     written once and read by every fit. Each fold of each run is written on its own; `keep`
@@ -221,6 +222,8 @@ def cross_validate(
     done = [units.folder(unit) for unit in jobs if unit[:2] not in failed]
     if not done:
         raise RuntimeError(f"every run failed: {failed}")
+    if whole and failed:
+        raise RuntimeError(f"runs failed: {failed}")
     schema = "target string, type string, key {}, fold bigint, y string, p string, {}".format(
         table.schema["key"].dataType.simpleString(), ", ".join(f"`{label}` double" for label in labels)
     )

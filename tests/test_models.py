@@ -170,6 +170,27 @@ def test_kernel_machines_of_small_tables_need_no_shuffle(planted, monkeypatch):
     assert tasks == [1, 3]
 
 
+def test_a_failed_run_fails_cv_scores(spark, planted, tmp_path, monkeypatch):
+    from rostrum.bindings import learning
+    from rostrum.plans import experiment as plan
+    table = planted.select("id", "x_embedding", "y_cat").withColumn("nothing", F.array(F.lit(None).cast("double")))
+    sets = {"Gender": ("nothing",), "Baseline": ("x_embedding",)}
+    with pytest.raises(RuntimeError, match="runs failed.*'Gender'"):
+        cross_validate(table, "id", {"t": "y_cat"}, sets, folds=2, options=FEW, whole=True)
+
+    def fails(train, test, kind, labels, **options):
+        if kind == "kernel":
+            raise RuntimeError("the cluster went away")
+        return models.stratified_baseline(test.withColumn("fold", F.lit(0)), labels).drop("fold")
+
+    monkeypatch.setattr(plan, "predict", fails)
+    spark.range(60).select(F.col("id").alias("vec_id"), F.array(*[
+        F.sin(F.col("id") * k).cast("float") for k in range(1, 7)]).alias("embedding")
+    ).write.parquet(str(tmp_path / "embeddings.parquet"))
+    with pytest.raises(RuntimeError, match="cluster went away"):
+        learning.cv_scores(spark, str(tmp_path))
+
+
 def test_holdout_scores_do_not_depend_on_how_its_forest_is_split_up(planted):
     once, again = (holdout_run(rows, "id", "y_cat", ("x_embedding",), "forest", trees=10, group_rows=size)[0].collect()
                    for rows, size in ((planted, 1 << 15), (planted.repartition(5), 25)))
