@@ -351,7 +351,9 @@ def forest_votes(
 
     schema = "node bigint, is_test boolean, x binary, a binary, b binary"
     rows = train.mapInArrow(hand_out, schema).unionByName(test.mapInArrow(ask, schema))
-    tasks = max(trees, int(below.sum()) // 8, int(counts.sum()) * d >> 25)
+    # A task of its own for every tree of a small table would be mostly its start.
+    few = min(trees, 2 * train.sparkSession.sparkContext.defaultParallelism)
+    tasks = max(few, int(below.sum()) // 8, int(counts.sum()) * d >> 25)
     sums = rows.repartition(tasks, "node").sortWithinPartitions("node", "is_test").mapInArrow(
         vote, "row bigint, " + ", ".join(f"{v} bigint" for v in outputs)
     ).groupBy("row").agg(*[F.sum(v).alias(v) for v in outputs])

@@ -7,17 +7,18 @@ vector column `x` (standardised); it returns the test rows as
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA, ElementwiseProduct, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rostrum.operators.forest import GROUP_ROWS, forest_votes
+from rostrum.operators.machines import OneVsRest
 from rostrum.operators.positions import hash_number
 from rostrum.vocab import SEED, SVC_C
 
@@ -89,10 +90,11 @@ def forest(
     )
 
 
-def kernel_map(
+def kernel_features(
     train: DataFrame, gamma: float, landmarks: int = LANDMARKS, seed: int = SEED
-):
-    """A Column function from vector `x` to Nystroem features of the RBF kernel.
+) -> tuple[Callable[[np.ndarray], np.ndarray], int]:
+    """A function from a matrix of vectors to their Nystroem features of the RBF kernel, and
+    the number of features.
 
     The landmarks are the training rows of least key hash: at most `landmarks`
     vectors reach the driver, and go back to the tasks with the function.
@@ -108,12 +110,20 @@ def kernel_map(
     values, vectors = np.linalg.eigh(kernel(points))
     keep = values > values.max() * 1e-10
     root = vectors[:, keep] / np.sqrt(values[keep]) @ vectors[:, keep].T
+    return lambda x: kernel(x) @ root, len(points)
+
+
+def kernel_map(
+    train: DataFrame, gamma: float, landmarks: int = LANDMARKS, seed: int = SEED
+):
+    """A Column function from vector `x` to its `kernel_features`."""
+    mapped, _ = kernel_features(train, gamma, landmarks, seed)
 
     @F.pandas_udf("array<double>")
     def features(x: pd.Series) -> pd.Series:
         if not len(x):
             return pd.Series([], dtype=object)
-        return pd.Series(list(kernel(np.stack(x.to_numpy())) @ root))
+        return pd.Series(list(mapped(np.stack(x.to_numpy()))))
 
     return lambda x: array_to_vector(features(vector_to_array(x)))
 
@@ -126,30 +136,31 @@ def kernel_svc(
 
     Spark has no kernel machine: the kernel is mapped to explicit features, then
     one linear machine per class is fitted, and a logistic model turns their
-    margins into probabilities. The machines pass over the features some hundred times, so
-    small tables are put into few tasks: one alone needs no shuffle.
+    margins into probabilities. The machines pass over the features some fifty times
+    (see `operators/machines.py`), so small tables are put into few tasks: one alone
+    needs a single job.
     """
-    mapped = kernel_map(train, width, landmarks, seed)
+    mapped, size = kernel_features(train, width, landmarks, seed)
     n = train.count()
-    fit_on = train.select(
-        "key", "y", label_index(labels).alias("label"), mapped("x").alias("k")
-    ).coalesce(-(-n * landmarks // TASK_CELLS) or 1).persist()
+    rows = train.select(label_index(labels).alias("label"), vector_to_array("x").alias("x"))
+    machines = OneVsRest(mapped, size, 1.0 / (c * n), iterations).fit(
+        rows.coalesce(-(-n * landmarks // TASK_CELLS) or 1)
+    )
+    margins = rows.select("label", machines.margins("x").alias("margins")).persist()
     try:
-        machines = OneVsRest(
-            classifier=LinearSVC(
-                regParam=1.0 / (c * n), maxIter=iterations, standardization=False
-            ),
-            featuresCol="k", labelCol="label", predictionCol="chosen",
-            parallelism=max(1, len(labels)),
-        ).fit(fit_on)
+        margins.count()  # before they are put into few tasks
+        few = margins.coalesce(-(-n * len(labels) // TASK_CELLS) or 1)
         calibration = LogisticRegression(
             featuresCol="rawPrediction", labelCol="label", family="multinomial",
             rawPredictionCol="_raw", predictionCol="_best", maxIter=iterations,
-        ).fit(machines.transform(fit_on).select("rawPrediction", "label"))
+        ).fit(few.select("label", array_to_vector("margins").alias("rawPrediction")))
     finally:
-        fit_on.unpersist()
-    scored = calibration.transform(machines.transform(test.withColumn("k", mapped("x"))))
-    return class_scores(scored, labels, "chosen", "probability")
+        margins.unpersist()
+    told = test.withColumn("_margins", machines.margins(vector_to_array("x"))).withColumns({
+        "rawPrediction": array_to_vector("_margins"),
+        "chosen": F.array_position("_margins", F.array_max("_margins")) - 1,
+    })
+    return class_scores(calibration.transform(told), labels, "chosen", "probability")
 
 
 def stratified_baseline(

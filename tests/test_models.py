@@ -1,9 +1,10 @@
 import numpy as np
 import pytest
+from pyspark.ml import classification as ml
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from rostrum.operators import forest, kernel_ridge as ridge, models
+from rostrum.operators import forest, kernel_ridge as ridge, machines, models
 from rostrum.operators.components import wide_components
 from rostrum.plans.experiment import cross_validate, experiment, holdout_run
 from rostrum.vocab import LEVELS
@@ -170,6 +171,38 @@ def test_kernel_machines_of_small_tables_need_no_shuffle(planted, monkeypatch):
     assert tasks == [1, 3]
 
 
+def test_machines_are_those_of_spark_in_a_pass_per_step(planted, monkeypatch):
+    train, _ = forest_tables(planted)
+    passes, fit = [], machines._fit
+    monkeypatch.setattr(machines, "_fit", lambda *a: fit(*a[:-1], lambda *p: passes.append(1) or a[-1](*p)))
+    mapped, size = models.kernel_features(train, 0.25, 40)
+    rows = train.select(models.label_index(LEVELS).alias("label"), vector_to_array("x").alias("x"))
+    single, several = (machines.OneVsRest(mapped, size, 1 / 36000, 50).fit(rows.repartition(n)).weights for n in (1, 3))
+    expected = ml.OneVsRest(
+        classifier=ml.LinearSVC(regParam=1 / 36000, maxIter=50, standardization=False), featuresCol="k", parallelism=1,
+    ).fit(rows.select("label", models.kernel_map(train, 0.25, 40)(array_to_vector("x")).alias("k")).coalesce(1))
+    expected = np.array([[*m.coefficients.toArray(), m.intercept] for m in expected.models])
+    for weights in (single, several):
+        np.testing.assert_allclose(weights, expected, rtol=1e-4, atol=1e-6 * np.abs(expected).max())
+    assert 50 <= len(passes) <= 75  # Spark's line searches ask for some 800 points
+
+
+def test_machines_refuse_what_they_cannot_learn(spark):
+    for label, x in ((-1.0, 1.0), (None, 1.0), (0.0, float("nan"))):
+        rows = spark.createDataFrame([(0.0, [1.0]), (1.0, [2.0]), (label, [x])], "label double, x array<double>")
+        with pytest.raises(Exception, match="known class|finite"):
+            machines.OneVsRest(lambda v: v, 1, 0.1, 5).fit(rows)
+
+
+def test_kernel_svc_of_awkward_tables(spark):
+    # Null and repeated keys, a class that training lacks, a constant position.
+    rows = [(None if i % 2 else 5, "low" if i % 3 else "medium", [float(i % 3), 1.0]) for i in range(60)]
+    df = spark.createDataFrame(rows, "key bigint, y string, x array<double>").withColumn("x", array_to_vector("x"))
+    out = models.kernel_svc(df, df, LEVELS, 0.5, landmarks=20, iterations=20).collect()
+    assert len(out) == 60 and all(r["p"] == r["y"] and r["high"] == 0 for r in out)
+    assert models.kernel_svc(df, df.where("false"), LEVELS, 0.5, landmarks=20, iterations=5).collect() == []
+
+
 def test_a_failed_run_fails_cv_scores(spark, planted, tmp_path, monkeypatch):
     from rostrum.bindings import learning
     from rostrum.plans import experiment as plan
