@@ -143,7 +143,8 @@ def split_points(rows: DataFrame, d: int) -> list[np.ndarray]:
     points = [np.unique(np.array(p or [], dtype=float)) for p in told["at"]]
     repeated = [i for i, p in enumerate(points) if len(p) < BINS - 1]
     if repeated:
-        values = rows.select(F.posexplode("x").alias("pos", "v")).where(F.col("pos").isin(repeated)).distinct()
+        # Not posexplode: Spark would infer a filter on x from it, and so read x of rows left out before.
+        values = rows.select(F.posexplode_outer("x").alias("pos", "v")).where(F.col("pos").isin(repeated)).distinct()
         few = values.groupBy("pos").agg(F.count("*").alias("n")).where(F.col("n") <= BINS)
         for r in values.join(F.broadcast(few), "pos").groupBy("pos").agg(
                 F.sort_array(F.collect_list("v")).alias("v")).collect():

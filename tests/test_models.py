@@ -184,7 +184,7 @@ def test_machines_are_those_of_spark_in_a_pass_per_step(planted, monkeypatch):
     expected = np.array([[*m.coefficients.toArray(), m.intercept] for m in expected.models])
     for weights in (single, several):
         np.testing.assert_allclose(weights, expected, rtol=1e-4, atol=1e-6 * np.abs(expected).max())
-    assert 50 <= len(passes) <= 75  # Spark's line searches ask for some 800 points
+    assert 50 <= len(passes) <= 75  # Spark runs a job for each of some hundred points
 
 
 def test_machines_refuse_what_they_cannot_learn(spark):
@@ -224,6 +224,15 @@ def test_a_failed_run_fails_cv_scores(spark, planted, tmp_path, monkeypatch):
         learning.cv_scores(spark, str(tmp_path))
 
 
+def test_rows_without_a_level_fail_no_run(planted):
+    missing = planted.where("id < 5").select(
+        F.col("id") + 1000, F.lit(None).cast("array<double>"), F.array(F.lit(None).cast("double")), F.lit(None).cast("string"))
+    table = planted.withColumn("x_gender", F.array((F.get("x_gender", F.lit(0)) > 0).cast("double"))).union(missing)
+    sets = {"Gender": ("x_gender",), "Posteriors+gender": ("x_embedding", "x_gender")}
+    out, failed = cross_validate(table, "id", {"t": "y_cat"}, sets, folds=2, options=FEW, whole=True)
+    assert failed == [] and out.count() == 2 * 240
+
+
 def test_holdout_scores_do_not_depend_on_how_its_forest_is_split_up(planted):
     once, again = (holdout_run(rows, "id", "y_cat", ("x_embedding",), "forest", trees=10, group_rows=size)[0].collect()
                    for rows, size in ((planted, 1 << 15), (planted.repartition(5), 25)))
